@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, urls
+from . import chat, jaccard, packing, sharding, substrings, toxicity, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, list(urls.RULES), weights, bias).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"r'\### Assistant: </turn> ok'"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
@@ -67,6 +76,14 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.judge(toxicity.score(docs.select("doc_id", "text", "lang"), model), model)
+    predicted = F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.cast("int").alias("predicted"), "threshold", "rejected")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.two_pass_shuffle(docs, 24).select(
@@ -81,7 +98,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op6_chat_format, op7_pack, op9_shard)}
+    return {f.__name__: f for f in (op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
