@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, packing, sharding, substrings, toxicity, urls
+from . import chat, decontaminate, jaccard, packing, sharding, substrings, toxicity, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -97,8 +97,12 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard)}
+    return {f.__name__: f for f in (op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

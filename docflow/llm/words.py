@@ -32,7 +32,7 @@ _STEP_LOW, _BACK_LOW = _powers(_STEP, _LOW), _powers(_BACK, _LOW)
 def _back(at: np.ndarray) -> np.ndarray:
     """The base's inverse to the power of each position."""
     high = _powers(pow(_BACK, _LOW, 1 << 64), int(at.max(initial=0)) // _LOW + 1)
-    return high[at // _LOW] * _BACK_LOW[at % _LOW]
+    return high[at >> 12] * _BACK_LOW[at & (_LOW - 1)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +60,15 @@ class Prefix:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * _back(start)
 
+    def runs(self, length: int) -> np.ndarray:
+        """Hashes of all ranges of this length, by their start."""
+        out = self.sums[length:] - self.sums[: len(self.sums) - length]
+        high = _powers(pow(_BACK, _LOW, 1 << 64), len(out) // _LOW + 1)
+        for k in range(len(high)):
+            part = out[k * _LOW : (k + 1) * _LOW]
+            part *= _BACK_LOW[: len(part)] * high[k]
+        return out
+
 
 def separators(table: bytes) -> np.ndarray:
     """A look-up: True for bytes of words."""
