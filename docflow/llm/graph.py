@@ -96,4 +96,37 @@ def task_order(tasks: DataFrame, cluster: str) -> DataFrame:
     return tasks.repartition(cluster, "task_i", "task_j").sortWithinPartitions(cluster, "task_i", "task_j", "side")
 
 
-__all__ = ["block_tasks", "components", "cut", "forest", "task_order"]
+def grouped(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes (low, doc, weight) with what verification found: low, class, component, links.
+
+    found: rows (node, links, root), partial link counts and forest links of classes' keys. class
+    is the class's smallest document, component the smallest of all classes linked with it,
+    links the number of other documents linked, copies included.
+    """
+    of_group = components(found.select("node", "root")).toDF("low", "group")
+    links = found.groupBy(F.col("node").alias("low")).agg(F.sum("links").alias("links"))
+    classes = classes.join(links, "low", "left").join(of_group, "low", "left").withColumn("group", F.coalesce("group", "low"))
+    first = classes.groupBy("group").agg(F.min("doc").alias("component"))
+    return classes.join(first, "group").select("low", F.col("doc").alias("class"), "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+
+
+def linked_rows(node: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """(node, links, root) of the places that have links, from the matrix left x right.
+
+    left is right, as the same object, for a block with itself; the matrix is symmetric then.
+    """
+    i, j = np.nonzero(linked)
+    if not len(i):
+        return None
+    links = np.zeros(len(node), dtype=np.int64)
+    links[left] += linked @ weight[right]
+    if left is not right:
+        links[right] += linked.T @ weight[left]
+    root = np.arange(len(node))
+    a, b = forest(left[i], right[j], len(node))
+    root[a] = b
+    hit = np.flatnonzero(links)
+    return node[hit], links[hit], node[root[hit]]
+
+
+__all__ = ["block_tasks", "components", "cut", "forest", "grouped", "linked_rows", "task_order"]

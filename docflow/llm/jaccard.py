@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import block_tasks, components, forest, task_order
+from .graph import block_tasks, components, grouped, linked_rows, task_order
 from .substrings import doc_key
 from .tables import cut
 from .words import Packed, groups, mix, parts, separators, texts_of
@@ -150,19 +150,9 @@ def _verify(similarity: float):  # noqa: ANN202
             linked = common >= similarity * (size[left][:, None] + size[right][None] - common)
             if same:
                 np.fill_diagonal(linked, False)
-            i, j = np.nonzero(linked)
-            if not len(i):
-                continue
-            links = np.zeros(len(node), dtype=np.int64)
-            links[left] += linked @ weight[right]
-            if not same:
-                links[right] += linked.T @ weight[left]
-            root = np.arange(len(node))
-            a, b = forest(left[i], right[j], len(node))
-            root[a] = b
-            hit = np.flatnonzero(links)
-            held.append((node[hit], links[hit], node[root[hit]]))
-            rows += len(hit)
+            if out := linked_rows(node, weight, left, right, linked):
+                held.append(out)
+                rows += len(out[0])
             if rows > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["node", "links", "root"])
                 held, rows = [], 0
@@ -206,11 +196,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: i
     grams = sets.mapInArrow(gather, "node long, cluster long, weight long, grams binary")
     tasks = task_order(block_tasks(grams, "cluster", F.col("node"), block), "cluster")
     found = cut(tasks.mapInArrow(_verify(similarity), "node long, links long, root long"), "links")
-    of_group = components(found.select("node", "root")).toDF("low", "group")
-    links = found.groupBy(F.col("node").alias("low")).agg(F.sum("links").alias("links"))
-    classes = signed.join(links, "low", "left").join(of_group, "low", "left").withColumn("group", F.coalesce("group", "low"))
-    first = classes.groupBy("group").agg(F.min("doc").alias("component"))
-    classes = classes.join(first, "group").select("low", F.col("doc").alias("class"), "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    classes = grouped(signed, found)
     placed = docs.select(doc_key(F.col(doc_id)).alias("doc"))  # documents without words are in none of the classes
     known = each.select("doc", "low").join(classes, "low").select("doc", "class", "component", "links")
     silent = placed.join(each.select("doc").distinct(), "doc", "left_anti").select("doc", F.col("doc").alias("class"), F.col("doc").alias("component"), F.lit(0).cast("long").alias("links"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, sharding, substrings, toxicity, urls
+from . import chat, decontaminate, embeddings, jaccard, packing, sharding, substrings, toxicity, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.join(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, bias = urls.train(urls.labelled(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -102,7 +106,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
