@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, packing, sharding, substrings, toxicity, urls
+from . import chat, decontaminate, embeddings, jaccard, lines, packing, sharding, substrings, toxicity, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,6 +37,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return kept.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "removed")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -106,7 +112,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_substring_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_substring_dedup, op4_line_dedup, op5_ngram_jaccard, op6_chat_format, op7_pack, op8_toxicity, op9_shard, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
