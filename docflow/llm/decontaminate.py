@@ -143,9 +143,11 @@ class Scanner:
         both = both[:, np.lexsort(both[::-1])]
         cuts = np.flatnonzero(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0), [True]]))
         full = both[:, cuts[:-1][np.diff(cuts) >= self.bound[both[1, cuts[:-1]]]]]
+        if not full.shape[1]:
+            return
         # bands that overlap or touch are one region
         joins = (full[0, 1:] == full[0, :-1]) & (full[1, 1:] == full[1, :-1]) & (full[2, 1:] - full[2, :-1] <= 2)
-        first = np.flatnonzero(np.concatenate([[True], ~joins]))[: full.shape[1]]
+        first = np.flatnonzero(np.concatenate([[True], ~joins]))
         last = np.append(first[1:], full.shape[1]) - 1
         for a, z in zip(first.tolist(), last.tolist(), strict=True):
             t, i, b = full[:, a].tolist()
