@@ -23,7 +23,11 @@ WINDOW, END_ID = 2048, 1
 #: Windows' worth of tokens that a batch leaves for the next one to choose from.
 LEAVE = 24
 #: Chunks whose ids a worker keeps; the rest are encoded by their parts.
-KEEP_CHUNKS, KEEP_CORES = 200_000, 400_000
+KEEP_CHUNKS, KEEP_CORES = 300_000, 500_000
+#: Byte-level vocabularies write a byte as the character of that number if it prints, else as one
+#: of those from 256 on, in order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: b if b in _PRINTS else 256 + sum(x not in _PRINTS for x in range(b)) for b in range(256)}
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,11 +54,17 @@ class Chunks(dict):
 
     def part(self, text: str) -> bytes:
         if (got := self.parts.get(text)) is None:
-            got = self.encode(text)
+            got = self.word(text) if text.isalpha() else self.encode(text)
             if len(self.parts) < KEEP_CORES:
                 self.parts[text] = got
         return got
 
+    def word(self, text: str) -> bytes:
+        """The ids of lower-case Latin-1 letters, which are one token's worth to the tokenizer's
+        rules: straight from its model, without normalising and splitting again."""
+        tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.strip(self.PUNCTUATION)
         if core and core.isalpha() and max(core) <= "\xff":
