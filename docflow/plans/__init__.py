@@ -74,11 +74,11 @@ def upload_guard_report(spark, d):
 
 
 # ---- store -----------------------------------------------------------------------------------
-_SEARCH = "o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2030-12-31' AND (n_name ILIKE '%an%' OR n_name IS NULL)"
+_SEARCH = "o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2030-12-31' AND (n_name ILIKE '%n_1%' OR n_name IS NULL)"
 
 
 def _searched(spark, d):
-    return O.filtered(_orders(spark, d), F.col("o_orderstatus") == "O", F.col("o_orderdate").between(F.lit("2000-01-01").cast("timestamp"), F.lit("2030-12-31").cast("timestamp")), F.col("n_name").ilike("%an%") | F.col("n_name").isNull(), None)
+    return O.filtered(_orders(spark, d), F.col("o_orderstatus") == "O", F.col("o_orderdate").between(F.lit("2000-01-01").cast("timestamp"), F.lit("2030-12-31").cast("timestamp")), F.col("n_name").ilike("%n_1%") | F.col("n_name").isNull(), None)
 
 
 @query(f"SELECT o_orderkey, c_name, n_name, o_totalprice FROM {JOINED} WHERE {_SEARCH} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 10")
