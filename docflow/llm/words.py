@@ -158,3 +158,32 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of many whole groups, from batches sorted by `keys`, with where each group begins
+    (and the end): about `rows` rows at a time, or one larger group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def cuts_of(table: pa.Table) -> np.ndarray:
+        change = np.ones(table.num_rows, dtype=bool)
+        change[1:] = False
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return np.append(np.flatnonzero(change), table.num_rows)
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = cuts_of(table)
+            if len(cuts) > 2:
+                yield table.slice(0, int(cuts[-2])), cuts[:-1]
+                table = table.slice(int(cuts[-2]))
+            held, n = table.to_batches(), table.num_rows
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cuts_of(table)
