@@ -197,7 +197,8 @@ def _best_cut(scores: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     wrong = np.concatenate([[0], np.cumsum(w * y)]) + np.concatenate([np.cumsum((w * (1 - y))[::-1])[::-1], [0]])
     edges = np.concatenate([[s[0] - 1], s, [s[-1] + 1]])
     middle, room = (edges[:-1] + edges[1:]) / 2, np.diff(edges)
-    good = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    open_ = room > 0  # no threshold lies between equal scores
+    good = np.flatnonzero(open_ & (wrong <= wrong[open_].min() + 1e-9))
     return float(middle[good[np.argmax(room[good])]])
 
 
