@@ -10,7 +10,7 @@ def _norm(v):
     v = v.tolist() if hasattr(v, "tolist") else v
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("nan", "NaT", "<NA>"):
         return None
     return round(float(v), 6) if isinstance(v, (int, float)) else str(v)
 
