@@ -250,3 +250,12 @@ def test_pipeline(spark):
     left = [" ".join(r["text"].lower().split()) for r in docs.collect()]
     assert 0 < len(left) and not any(i in t for i in items for t in left)
     assert pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == len(left)
+
+
+def test_simhash_counts_bits_of_words():
+    texts = ["", "?!", "one two three", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i % 977}" for i in range(70000))]
+    packed = lines.normalise(texts)
+    words, first = packed.hashes().tolist(), packed.first.tolist()
+    for i, got in enumerate(lines.simhash(packed).tolist()):
+        own = words[first[i] : first[i + 1]]
+        assert got == sum(1 << k for k in range(64) if sum(w >> k & 1 for w in own) * 2 > len(own))
