@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,10 +253,10 @@ def test_pipeline(spark):
     assert pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == len(left)
 
 
-def test_simhash_counts_bits_of_words():
-    texts = ["", "?!", "one two three", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i % 977}" for i in range(70000))]
+def test_simhash_counts_bits_of_distinct_words():
+    texts = ["", "?!", "one two three", "a a a a b", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(70000)), "b a"]
     packed = lines.normalise(texts)
     words, first = packed.hashes().tolist(), packed.first.tolist()
     for i, got in enumerate(lines.simhash(packed).tolist()):
-        own = words[first[i] : first[i + 1]]
+        own = lines.mix(np.array(sorted({w >> 17 for w in words[first[i] : first[i + 1]]}), dtype=np.uint64)).tolist()
         assert got == sum(1 << k for k in range(64) if sum(w >> k & 1 for w in own) * 2 > len(own))
