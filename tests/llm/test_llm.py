@@ -108,10 +108,10 @@ def test_lines(spark):
     got = Counter((r["doc_id"], r["text"], r["n_lines"]) for r in lines.drop_lines(df).collect())
     assert got == Counter({(1, base + "\nkeep me", 2): 2, (2, "!!!\n!!!", 3): 1, (3, None, 0): 1, (4, "", 1): 1, (5, "other words entirely", 2): 1, (6, "", 1): 1})
     assert lines.drop_lines(df.limit(0)).count() == 0
-    for n in (1, 10**6, 10**9):  # every choice of blocks finds what differs in three bits
+    for n in (1, 10**6, 10**9):  # every choice of blocks finds what differs in BITS_APART bits
         masks = lines.blocking(n)
         for _ in range(200):
-            flips = sum(1 << b for b in R.sample(range(64), 3))
+            flips = sum(1 << b for b in R.sample(range(64), lines.BITS_APART))
             assert any(not flips & m for m in masks)
 
 
