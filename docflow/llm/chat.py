@@ -69,8 +69,10 @@ def paths(messages: DataFrame, *, top: int = 1) -> DataFrame:
         if not open_rows or 2 ** (len(levels) - 1) > n_rows:
             break
         far = now.select(F.col("conv").alias("k"), F.col("node").alias("at"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        joined = now.join(far, now["conv"].eqNullSafe(far["k"]) & (now["up"] == far["at"]), "left")
-        levels.append(written(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "jump"))
+        # only paths that have not reached their root go on; the others are carried along unjoined
+        open_, closed = now.where(F.col("up").isNotNull()), now.where(F.col("up").isNull())
+        joined = open_.join(far, open_["conv"].eqNullSafe(far["k"]) & (open_["up"] == far["at"]), "left")
+        levels.append(written(closed.unionByName(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))), "jump"))
     last = levels[-1][0].where(F.col("up").isNull())  # what is still open lies on a cycle
     inner = light.select(F.col("conv").alias("k"), F.col("parent").alias("at")).where("at is not null").distinct()
     leaves = last.join(inner, last["conv"].eqNullSafe(inner["k"]) & (last["node"] == inner["at"]), "left_anti")
