@@ -77,14 +77,15 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return hit, label[hit]
 
 
-def block_tasks(members: DataFrame, cluster: str, key: Column, block: int) -> DataFrame:
+def block_tasks(members: DataFrame, cluster: str, key: Column, block: int, least: int = 1) -> DataFrame:
     """Members repeated for each pair of blocks they take part in, with columns task_i, task_j, side.
 
     A cluster of n members has ceil(n / block) blocks, dealt by a hash of `key`; a task (i, j) with
     i <= j compares block i with block j, side telling which of both the row is of (0 where i = j).
     Copies of a member: one per block of its cluster, so one for all but the largest clusters.
+    Clusters of fewer than `least` members go.
     """
-    sizes = members.groupBy(cluster).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    sizes = members.groupBy(cluster).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
     dealt = members.join(sizes, cluster).withColumn("own", F.pmod(F.xxhash64(F.lit(11), key), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select(
