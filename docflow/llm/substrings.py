@@ -172,7 +172,7 @@ def repeats(load: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, ...
     if not len(order):
         return tuple(out)
     buf = np.frombuffer(text + b"\n", dtype=np.uint8)
-    gap = np.flatnonzero(buf <= 0x20)
+    gap = np.flatnonzero((buf == 0x20) | (buf == 0x0A))  # what Packed and the lines write; other control bytes are of words
     start = np.concatenate([[0], gap[:-1] + 1])
     lines = np.flatnonzero(buf[gap] == 0x0A)
     # lines without text are single empty words; the others' words are start..gap
