@@ -75,7 +75,8 @@ def date_range(c: Column) -> Column:
 def alias_matches(c: Column, aliases: dict[str, str]) -> Column:
     """Canonical names of the aliases in the text, longest alias first, each once, in text order."""
     ordered = sorted(aliases, key=lambda a: (-len(a), a))
-    pattern = r"(?i)\b(" + "|".join(re.escape(a) for a in ordered) + r")\b"
+    # letters and digits of any script are of words; what \b takes for one depends on the engine
+    pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(a) for a in ordered) + r")(?![\p{L}\p{N}_])"
     table = F.create_map(*[F.lit(x) for a in sorted(aliases) for x in (a, aliases[a])])
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda m: F.element_at(table, F.lower(m))))
 

@@ -40,6 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 LINES = "(SELECT doc_id, line_no, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents) WHERE trim(line, ' ') <> '')"
 JOINED = "orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"
+ALIASES = {"the": "article_en", "and": "and", "with": "with", "der": "article_de", "die": "article_de", "les": "article_fr"}
 LABEL = r"""CASE WHEN trim(text, ' ') = '' THEN 'UNKNOWN' WHEN regexp_matches(text, '^[^A-Za-z]*(19|20)[0-9]{2}[^A-Za-z]*$') THEN 'DATE'
  WHEN regexp_matches(text, '^[•●▪*\-–—]\s+') THEN 'BULLET' WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'CONTACT'
  WHEN len(regexp_split_to_array(trim(text, ' '), '[ \t]+')) <= 3 AND NOT regexp_matches(text, '[.,;:]$') THEN 'SECTION_HEADER'
@@ -234,9 +235,14 @@ def alnum_digest(spark, d):
 
 @query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(the|and|with|der|die|les)\\b', 1), lambda m: CASE WHEN lower(m) IN ('der', 'die') THEN 'article_de' WHEN lower(m) = 'the' THEN 'article_en' WHEN lower(m) = 'les' THEN 'article_fr' ELSE lower(m) END)) AS found FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')".replace("list_distinct(", "list_sort(list_distinct(").replace(")) AS found", "))) AS found"))
 def alias_match(spark, d):
-    aliases = {"the": "article_en", "and": "and", "with": "with", "der": "article_de", "die": "article_de", "les": "article_fr"}
     docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", F.array_sort(X.alias_matches(F.col("text"), aliases)).alias("found"))
+    return docs.select("doc_id", F.array_sort(X.alias_matches(F.col("text"), ALIASES)).alias("found"))
+
+
+@query()
+def alias_match_all(spark, d):
+    """All documents; DuckDB's word boundary is ASCII, so the tests hold a brute-force version."""
+    return table(spark, d, "documents").select("doc_id", F.array_sort(X.alias_matches(F.col("text"), ALIASES)).alias("found"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS \"start\", CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y') END AS \"end\", o_orderkey % 3 = 0 AS current FROM orders WHERE o_orderkey % 5 <> 0")
