@@ -228,6 +228,13 @@ def text_normalize(spark, d):
     return docs.select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n).alias("digest"))
 
 
+@query()
+def text_normalize_all(spark, d):
+    """All documents, those with CR, control and zero-width characters too; the tests hold a brute-force version."""
+    n = X.normalize_text(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n).alias("digest"))
+
+
 @query("SELECT doc_id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS folded FROM documents")
 def alnum_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.alnum_fold(F.col("text"))).alias("folded"))

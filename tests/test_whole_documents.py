@@ -1,5 +1,6 @@
 """Text queries over every document, by brute force: their SQL covers some documents only."""
 
+import hashlib
 import re
 
 from docflow import plans
@@ -16,3 +17,18 @@ def test_alias_match_all(spark, tmp_path):
     found = {r["doc_id"]: r["found"] for r in plans.queries()["alias_match_all"](spark, _folder(spark, tmp_path, TEXTS)).collect()}
     want = {i: None if t is None else sorted({plans.ALIASES[m.lower()] for m in re.findall(r"(?i)\b(the|and|with|der|die|les)\b", t)}) for i, t in enumerate(TEXTS)}
     assert found == want
+
+
+DIRTY = ["one\r\ntwo\rthree \n four", "a\x00b\x0bc\x1fd\x7fe", "zero\u200bwidth\u200c\u200d\ufeff end", "\ufb01ne \ufb04 \ufb05", " \t x \t\n\n y ", "\r\n", "", None, "plain"]
+
+
+def test_text_normalize_all(spark, tmp_path):
+    def normal(t):
+        t = re.sub("[\x00-\x08\x0b-\x1f\x7f\u200b\u200c\u200d\ufeff]", " ", t.replace("\r\n", "\n").replace("\r", "\n"))
+        for one, more in zip("\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06", ("ff", "fi", "fl", "ffi", "ffl", "st", "st"), strict=True):
+            t = t.replace(one, more)
+        return re.sub(r" ?\n ?", "\n", re.sub("[ \t]+", " ", t)).strip(" ")
+
+    got = {r["doc_id"]: (r["n"], r["digest"]) for r in plans.queries()["text_normalize_all"](spark, _folder(spark, tmp_path, DIRTY)).collect()}
+    want = {i: (None, None) if t is None else (len(normal(t)), hashlib.md5(normal(t).encode()).hexdigest()) for i, t in enumerate(DIRTY)}
+    assert got == want
