@@ -37,11 +37,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Rows repeat no more."""
-    found = jaccard.join(docs)
-    copies = found.where("doc_id <> component_id or (doc_id is not null and component_id is null)").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
-    return rest.withColumn("__rid", substrings.row_key(F.col("text"))).dropDuplicates(["doc_id", "__rid"]).select(*COLUMNS)
+    """One document of each group of near copies: that with the smallest id, then row key. Rows repeat no more."""
+    copies = jaccard.copies(docs).select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"))
+    rows = docs.select(*COLUMNS, substrings.doc_key(F.col("doc_id")).alias("__doc"), substrings.row_key(F.col("text")).alias("__rid"))
+    return rows.join(copies, ["__doc", "__rid"], "left_anti").dropDuplicates(["__doc", "__rid"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def task_order(tasks: DataFrame, cluster: str) -> DataFrame:
 
 
 def grouped(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Classes (low, doc, weight) with what verification found: low, class, component, links.
+    """Classes (low, doc, weight) with what verification found: low, class, component, links, group.
 
     found: rows (node, links, root), partial link counts and forest links of classes' keys. class
     is the class's smallest document, component the smallest of all classes linked with it,
@@ -112,7 +112,7 @@ def grouped(classes: DataFrame, found: DataFrame) -> DataFrame:
     links = found.groupBy(F.col("node").alias("low")).agg(F.sum("links").alias("links"))
     classes = classes.join(links, "low", "left").join(of_group, "low", "left").withColumn("group", F.coalesce("group", "low"))
     first = classes.groupBy("group").agg(F.min("doc").alias("component"))
-    return classes.join(first, "group").select("low", F.col("doc").alias("class"), "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return classes.join(first, "group").select("low", F.col("doc").alias("class"), "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "group")
 
 
 def linked_rows(node: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, ...] | None:

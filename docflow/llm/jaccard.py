@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import block_tasks, components, grouped, linked_rows, task_order
-from .substrings import doc_key
+from .substrings import doc_key, row_key
 from .tables import cut
 from .words import Packed, groups, mix, parts, separators, texts_of
 
@@ -87,11 +87,11 @@ def _signatures(grams: np.ndarray, begin: np.ndarray, n_bands: int, rows: int) -
 
 
 def classes_of(docs: DataFrame, doc_id: str, text: str, gram: int, n_bands: int, rows: int) -> DataFrame:
-    """Rows (doc, low, high, bands) of documents with words: class digest and band hashes."""
+    """Rows (doc, rid, low, high, bands) of documents with words: class digest and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, texts = batch.column(0), texts_of(batch.column(1))
+            doc, rid, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
             for a, b in parts(map(len, texts)):
                 grams, begin, digests = shingles(texts[a:b], gram)
                 live = np.flatnonzero(np.diff(begin))
@@ -100,9 +100,9 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, gram: int, n_bands: int,
                 signed = _signatures(grams, np.append(begin[live], begin[-1]), n_bands, rows).view(np.int64)
                 ids = np.frombuffer(b"".join(digests[i] for i in live.tolist()), dtype=np.int64).reshape(-1, 2)
                 offsets = pa.array(np.arange(len(live) + 1) * n_bands, pa.int32())
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(live + a)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed.ravel()))], ["doc", "low", "high", "bands"])
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(live + a)), rid.take(pa.array(live + a)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed.ravel()))], ["doc", "rid", "low", "high", "bands"])
 
-    return docs.select(doc_key(F.col(doc_id)), F.col(text)).mapInArrow(run, "doc long, low long, high long, bands array<long>")
+    return docs.select(doc_key(F.col(doc_id)), row_key(F.col(text)), F.col(text)).mapInArrow(run, "doc long, rid long, low long, high long, bands array<long>")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -172,6 +172,27 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: i
     give one row an id where another row of the id has words; a null id counts as the smallest
     and comes back null.
     """
+    each, classes = _linked(docs, doc_id, text, gram, similarity, recall, hashes, block)
+    placed = docs.select(doc_key(F.col(doc_id)).alias("doc"))  # documents without words are in none of the classes
+    known = each.select("doc", "low").join(classes, "low").select("doc", "class", "component", "links")
+    silent = placed.join(each.select("doc").distinct(), "doc", "left_anti").select("doc", F.col("doc").alias("class"), F.col("doc").alias("component"), F.lit(0).cast("long").alias("links"))
+    shown = {"doc_id": "doc", "class_id": "class", "component_id": "component"}
+    return known.unionByName(silent).select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for n, c in shown.items()], F.col("links").alias("n_links"))
+
+
+def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+    """Rows (doc, rid) of all documents but the first of each group of near copies, each once.
+
+    The first has the smallest doc, then rid; `substrings.doc_key` and `row_key` give both.
+    """
+    each, classes = _linked(docs, doc_id, text, gram, similarity, recall, hashes, block)
+    rows = each.select("doc", "rid", "low").join(classes.select("low", "group"), "low")
+    first = rows.groupBy("group").agg(F.min(F.struct("doc", "rid")).alias("first"))
+    return rows.join(first, "group").where("struct(doc, rid) <> first").select("doc", "rid").distinct()
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, gram: int, similarity: float, recall: float, hashes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with words (doc, rid, low) and their classes with links and groups."""
     n_bands, rows = bands(similarity, recall, hashes)
     each = cut(classes_of(docs, doc_id, text, gram, n_bands, rows), "signatures")
     signed = each.groupBy("low").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("weight"))
@@ -196,9 +217,4 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: i
     grams = sets.mapInArrow(gather, "node long, cluster long, weight long, grams binary")
     tasks = task_order(block_tasks(grams, "cluster", F.col("node"), block), "cluster")
     found = cut(tasks.mapInArrow(_verify(similarity), "node long, links long, root long"), "links")
-    classes = grouped(signed, found)
-    placed = docs.select(doc_key(F.col(doc_id)).alias("doc"))  # documents without words are in none of the classes
-    known = each.select("doc", "low").join(classes, "low").select("doc", "class", "component", "links")
-    silent = placed.join(each.select("doc").distinct(), "doc", "left_anti").select("doc", F.col("doc").alias("class"), F.col("doc").alias("component"), F.lit(0).cast("long").alias("links"))
-    shown = {"doc_id": "doc", "class_id": "class", "component_id": "component"}
-    return known.unionByName(silent).select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for n, c in shown.items()], F.col("links").alias("n_links"))
+    return each, grouped(signed, found)
