@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Classifier, SimHash, MinHash and tokenizer can't be put in SQL; the tests hold a brute-force version.
+#: Classifier, SimHash, MinHash and tokenizer can't be put in SQL.
 ORACLE_SQL: str | None = None
 
 
