@@ -1,4 +1,4 @@
-"""Sources and sinks: tables, line blocks of texts, tags of pages, JSON, CSV and text exports."""
+"""Sources and sinks: tables, line blocks of texts, tags of pages, JSON and CSV exports."""
 
 from __future__ import annotations
 
