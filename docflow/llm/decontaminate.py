@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Prefix, mix, parts
+from .words import Prefix, mix, slices, texts_of, tidy
 
 Q, EDIT_RATE = 8, 0.1
 BLOCK_CHARS, PART_CHARS = 4 << 20, 1 << 19
@@ -201,14 +201,11 @@ def _each(docs: DataFrame, text: str, scanner: Scanner, give, schema: T.StructTy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = pickle.loads(held.value)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
-            found: list = []
-            for a, b in parts(map(len, texts), PART_CHARS):
-                found += scanner.scan(texts[a:b])
-            yield from give(batch, found)
-
-    return docs.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole, place, PART_CHARS):
+                yield from give(batch, scanner.scan(texts_of(batch.column(place))))
+
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import tidy
+
 WINDOW, END_ID = 2048, 1
 #: Windows' worth of tokens that a batch leaves for the next one to choose from.
 LEAVE = 24
@@ -214,4 +216,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
             yield from rows(placed(batch))
         yield from rows(packer.close())
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tidy(run), SCHEMA)

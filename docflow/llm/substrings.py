@@ -20,7 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Packed, Prefix, groups, mix, parts
+from .deal import MOST_PARTITIONS
+from .words import Packed, Prefix, groups, mix, parts, slices, tidy
 
 WINDOW, GRAM = 20, 3
 #: Bytes of text per bucket, and bytes of text from which a batch's strings are sent off.
@@ -225,11 +226,10 @@ def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(buckets, window, gram)
-        for batch in batches:
-            doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
-            texts = [(t.as_py() or "").encode() for t in batch.column(2)]
-            for a, b in parts(map(len, texts)):
-                sender.add(doc[a:b], rid[a:b], texts[a:b])
+        for whole in batches:
+            for batch in slices(whole, 2):
+                doc, rid = (batch.column(i).to_numpy() for i in (0, 1))
+                sender.add(doc, rid, [(t.as_py() or "").encode() for t in batch.column(2)])
                 if sender.bytes >= SEND_BYTES:
                     yield from sender.send()
         yield from sender.send()
@@ -240,8 +240,8 @@ def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             found = repeats(np.concatenate(loads, axis=1), b"\n".join(texts), window)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_FOUND)
 
-    sent = rows.mapInArrow(send, "bucket int, load binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(find, "doc long, rid long, low long, high long")
+    sent = rows.mapInArrow(tidy(send), "bucket int, load binary").repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(tidy(find), "doc long, rid long, low long, high long")
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
@@ -258,28 +258,26 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     joined = rows.join(lists, ["doc", "rid"], "left").select("doc_id", "text", "low", "high")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             kept, n, gone = [], [], []
-            for a, b in parts(map(len, texts)):
-                packed = Packed(texts[a:b])
-                raw = packed.buf.tobytes()
-                for i, (first, last) in enumerate(zip(packed.first[:-1].tolist(), packed.first[1:].tolist(), strict=True), a):
-                    n.append(last - first)
-                    if batch.column(2)[i].is_valid and first < last:
-                        change = np.zeros(last - first + 1, dtype=np.int64)
-                        np.add.at(change, np.asarray(batch.column(2)[i].values), 1)
-                        np.add.at(change, np.asarray(batch.column(3)[i].values) + 1, -1)
-                        stay = np.flatnonzero(np.cumsum(change)[:-1] == 0)
-                        gone.append(last - first - len(stay))
-                        # runs of kept words are slices of the packed text
-                        cut = np.flatnonzero(np.diff(stay, prepend=-2) != 1)
-                        ends = np.append(cut[1:] - 1, len(stay) - 1) if len(stay) else cut
-                        runs = zip(packed.start[first + stay[cut]].tolist(), packed.end[first + stay[ends]].tolist(), strict=True)
-                        kept.append(b" ".join([raw[x:y] for x, y in runs]))
-                    else:
-                        gone.append(0)
-                        kept.append(raw[packed.start[first] : packed.end[last - 1]] if first < last else b"")
+            packed = Packed([(t.as_py() or "").encode() for t in batch.column(1)])
+            raw = packed.buf.tobytes()
+            for i, (first, last) in enumerate(zip(packed.first[:-1].tolist(), packed.first[1:].tolist(), strict=True)):
+                n.append(last - first)
+                if batch.column(2)[i].is_valid and first < last:
+                    change = np.zeros(last - first + 1, dtype=np.int64)
+                    np.add.at(change, np.asarray(batch.column(2)[i].values), 1)
+                    np.add.at(change, np.asarray(batch.column(3)[i].values) + 1, -1)
+                    stay = np.flatnonzero(np.cumsum(change)[:-1] == 0)
+                    gone.append(last - first - len(stay))
+                    # runs of kept words are slices of the packed text
+                    cut = np.flatnonzero(np.diff(stay, prepend=-2) != 1)
+                    ends = np.append(cut[1:] - 1, len(stay) - 1) if len(stay) else cut
+                    runs = zip(packed.start[first + stay[cut]].tolist(), packed.end[first + stay[ends]].tolist(), strict=True)
+                    kept.append(b" ".join([raw[x:y] for x, y in runs]))
+                else:
+                    gone.append(0)
+                    kept.append(raw[packed.start[first] : packed.end[last - 1]] if first < last else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "kept_text", "n_words", "n_removed"])
 
-    return joined.mapInArrow(drop, "doc_id long, kept_text string, n_words long, n_removed long")
+    return joined.mapInArrow(tidy(drop), "doc_id long, kept_text string, n_words long, n_removed long")

@@ -20,17 +20,25 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="docflow-")
     return _LOCAL[app]
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes `df` as Parquet and returns the frame that reads it, with its path for `forget`."""
+def written(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """Writes `df` as Parquet, in folders by the columns `by`, and returns the frame that reads it, with its path for `forget`.
+
+    What was shuffled to make it is of no use any more: a collection on the driver lets Spark's
+    cleaner delete these files now and not when its heap happens to fill.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

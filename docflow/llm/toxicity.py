@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import PART_BYTES, Packed, parts, separators
+from .words import PART_BYTES, Packed, parts, separators, slices, texts_of, tidy
 
 #: Labelled rows of either label that training reads at most.
 SAMPLE = 3000
@@ -225,7 +225,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """Fits on labelled documents that are not held out: `sample` rows of either label at most.
 
-    Rows of a label are chosen by a hash of the text, at a rate that the count of that label
+    Rows of a label are chosen by a hash of their id, at a rate that the count of that label
     gives, and weigh as many as they stand for. Null labels are left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -253,14 +253,12 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(held.value)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
-            out = np.zeros(len(texts))
-            for a, b in parts(map(len, texts), PART_BYTES // 2):
-                out[a:b] = model.scores(*encode(texts[a:b]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*kept, "score"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+        for whole in batches:
+            for batch in slices(whole, place, PART_BYTES // 2):
+                out = model.scores(*encode(texts_of(batch.column(place)))) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*kept, "score"])
+
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def judge(scored: DataFrame, model: Model, *, lang: str = "lang") -> DataFrame:

@@ -8,10 +8,13 @@ prefix sums times a power of the base's inverse.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = 4096
@@ -137,6 +140,31 @@ def parts(sizes: Iterable[int], most: int = PART_BYTES) -> Iterator[tuple[int, i
         yield begin, end
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have `most` bytes at most, so that no more is decoded at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in parts(sizes, most):
+        yield batch.slice(a, b - a)
+    if not batch.num_rows:
+        yield batch
+
+
+def _run_tidy(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from run(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
+def tidy(run: Callable) -> Callable:
+    """`run`, for mapInArrow, giving freed memory back when its task ends: workers serve many tasks."""
+    return partial(_run_tidy, run)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of rows with equal keys, from batches sorted by these keys; holds one group at a time."""
     held: list[pa.RecordBatch] = []
