@@ -2,8 +2,9 @@
 
 1. Texts with the same words form a class; only its representative goes on.
 2. MinHash signatures are cut into bands; band and row counts follow from the target recall.
-   Representatives are shuffled on band hashes, and those that share a band hash are joined in
-   a star around the smallest, so rows stay in proportion to the signatures.
+   Representatives are shuffled on band hashes, packed, and those that share a band hash are
+   joined in a star around the smallest, so rows stay in proportion to the signatures. Of those
+   that share one within a part of a task only one is sent, so a hot band loads no task.
 3. The components of these stars are clusters of candidates. Each representative's n-gram set
    goes to its cluster, where blocks of sets are compared all with all and the pairs at the
    threshold counted; only counts and a spanning forest of the links leave a block.
@@ -15,21 +16,26 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .deal import Dealer, batch_of, dealt, local_stars, received
 from .graph import block_tasks, components, grouped, linked_rows, task_order
 from .substrings import doc_key, row_key
-from .tables import cut
-from .words import Packed, groups, mix, parts, separators, texts_of
+from .tables import cut, forget, written
+from .words import Packed, groups, mix, separators, slices, texts_of, tidy
 
 GRAM, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.9999, 300
 #: Sets in a block, and n-grams handled at once within a pair of blocks.
 BLOCK, COLUMNS = 192, 4096
 NO_ID = -(1 << 63)
+#: Band keys per bucket; kinds of rows: documents, loads of band keys, links.
+KEYS, ROW, LOADS, LINK = 1 << 19, 0, 1, 2
+_SIGNED = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("rid", pa.int64()), ("low", pa.int64()), ("bucket", pa.int32()), ("load", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 _WORD = separators(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
@@ -55,7 +61,7 @@ def shingles(texts: list[str], gram: int) -> tuple[np.ndarray, np.ndarray, list[
     raw = packed.buf.tobytes()
     first = packed.first
     n = np.diff(first)
-    digests = [hashlib.blake2b(raw[packed.start[a] : packed.end[b - 1]], digest_size=16).digest() if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    digests = [hashlib.blake2b(raw[packed.start[a] : packed.end[b - 1]], digest_size=8).digest() if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     count = np.where(n >= gram, n - gram + 1, np.minimum(n, 1))
     begin = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(count, out=begin[1:])
@@ -86,23 +92,54 @@ def _signatures(grams: np.ndarray, begin: np.ndarray, n_bands: int, rows: int) -
     return out
 
 
-def classes_of(docs: DataFrame, doc_id: str, text: str, gram: int, n_bands: int, rows: int) -> DataFrame:
-    """Rows (doc, rid, low, high, bands) of documents with words: class digest and band hashes."""
+def _signed(gram: int, n_bands: int, rows: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_SIGNED`: each document with its class, null if it has no words; loads of band keys
+    with their classes; links of classes that share a band here already, of which one is sent."""
+    dealer = Dealer(buckets)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for bucket, load in dealer.send():
+            yield batch_of(_SIGNED, kind=[LOADS], bucket=[bucket], load=[load])
+
+    for whole in batches:
+        for batch in slices(whole, 2):
+            grams, begin, digests = shingles(texts_of(batch.column(2)), gram)
+            live = np.flatnonzero(np.diff(begin))
+            low = np.zeros(batch.num_rows, dtype=np.int64)
+            low[live] = np.frombuffer(b"".join(digests[i] for i in live.tolist()), dtype=np.int64)
+            silent = np.ones(len(low), dtype=bool)
+            silent[live] = False
+            yield batch_of(_SIGNED, kind=np.full(len(low), ROW, np.int32), doc=batch.column(0), rid=batch.column(1), low=pa.array(low, mask=silent))
+            if not len(live):
+                continue
+            _, once = np.unique(low[live], return_index=True)
+            key = _signatures(grams, np.append(begin[live], begin[-1]), n_bands, rows)[once] & np.uint64((1 << 48) - 1)
+            key, node, x, y = local_stars(key.ravel(), np.repeat(low[live[once]], n_bands))
+            yield batch_of(_SIGNED, kind=np.full(len(x), LINK, np.int32), a=x, b=y)
+            dealer.add(mix(key), [key, node])
+            if dealer.full():
+                yield from sent()
+    yield from sent()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, rid, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
-            for a, b in parts(map(len, texts)):
-                grams, begin, digests = shingles(texts[a:b], gram)
-                live = np.flatnonzero(np.diff(begin))
-                if not len(live):
-                    continue
-                signed = _signatures(grams, np.append(begin[live], begin[-1]), n_bands, rows).view(np.int64)
-                ids = np.frombuffer(b"".join(digests[i] for i in live.tolist()), dtype=np.int64).reshape(-1, 2)
-                offsets = pa.array(np.arange(len(live) + 1) * n_bands, pa.int32())
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(live + a)), rid.take(pa.array(live + a)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed.ravel()))], ["doc", "rid", "low", "high", "bands"])
 
-    return docs.select(doc_key(F.col(doc_id)), row_key(F.col(text)), F.col(text)).mapInArrow(run, "doc long, rid long, low long, high long, bands array<long>")
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the classes that share a key with the smallest that has it."""
+    for _, (key, node), _ in received(batches):
+        _, _, x, y = local_stars(key, node)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+
+def among(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows whose (doc, rid) may be among the n wanted ones: all that are and few others.
+
+    Bits of hashes, 8 a wanted row and 1 << 26 at most, so what is broadcast never passes a
+    million rows. It keeps what is not wanted out of the shuffle of an exact join after it.
+    """
+    bits = max(64, min(1 << 26, 8 * n))
+    at = F.pmod(F.xxhash64(F.lit(5), "doc", "rid"), F.lit(bits))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("__bits"))
+    marked = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word")
+    return marked.where("getbit(__bits, cast(__at & 63 as int)) = 1").select(*rows.columns)
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -168,16 +205,13 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: i
     class_id is the smallest doc_id with the same words, component_id the smallest reachable by
     links of Jaccard similarity >= `similarity`, n_links the number of other documents linked
     directly, copies included. A text without words (null, empty, punctuation only) links with
-    nothing. Rows that repeat an id are documents of their own, except that rows without words
-    give one row an id where another row of the id has words; a null id counts as the smallest
+    nothing. Rows that repeat an id are documents of their own; a null id counts as the smallest
     and comes back null.
     """
     each, classes = _linked(docs, doc_id, text, gram, similarity, recall, hashes, block)
-    placed = docs.select(doc_key(F.col(doc_id)).alias("doc"))  # documents without words are in none of the classes
-    known = each.select("doc", "low").join(classes, "low").select("doc", "class", "component", "links")
-    silent = placed.join(each.select("doc").distinct(), "doc", "left_anti").select("doc", F.col("doc").alias("class"), F.col("doc").alias("component"), F.lit(0).cast("long").alias("links"))
-    shown = {"doc_id": "doc", "class_id": "class", "component_id": "component"}
-    return known.unionByName(silent).select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for n, c in shown.items()], F.col("links").alias("n_links"))
+    known = each.join(classes, "low", "left")  # rows without words are in no class
+    shown = {"doc_id": F.col("doc"), "class_id": F.coalesce("class", "doc"), "component_id": F.coalesce("component", "doc")}
+    return known.select(*[F.when(c != NO_ID, c).alias(n) for n, c in shown.items()], F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
@@ -186,35 +220,33 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram:
     The first has the smallest doc, then rid; `substrings.doc_key` and `row_key` give both.
     """
     each, classes = _linked(docs, doc_id, text, gram, similarity, recall, hashes, block)
-    rows = each.select("doc", "rid", "low").join(classes.select("low", "group"), "low")
+    rows = each.join(classes.select("low", "group"), "low")
     first = rows.groupBy("group").agg(F.min(F.struct("doc", "rid")).alias("first"))
     return rows.join(first, "group").where("struct(doc, rid) <> first").select("doc", "rid").distinct()
 
 
 def _linked(docs: DataFrame, doc_id: str, text: str, gram: int, similarity: float, recall: float, hashes: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with words (doc, rid, low) and their classes with links and groups."""
+    """All rows (doc, rid, low: null without words) and their classes with links and groups."""
     n_bands, rows = bands(similarity, recall, hashes)
-    each = cut(classes_of(docs, doc_id, text, gram, n_bands, rows), "signatures")
-    signed = each.groupBy("low").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("weight"))
-    keys = each.dropDuplicates(["low"]).select("low", F.explode(F.transform("bands", lambda h, i: F.xxhash64(h, i))).alias("band")).repartition("band")
-    stars = keys.groupBy("band").agg(F.min("low").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    edges = keys.join(stars, "band").where("low <> hub").select("low", "hub").distinct()
-    clusters = components(edges).toDF("low", "cluster")
-    members = cut(signed.join(clusters, "low"), "members")
-    sets = docs.select(doc_key(F.col(doc_id)).alias("doc"), F.col(text).alias("text")).join(members, "doc").select("low", "cluster", "weight", "text")
+    buckets = max(1, -(-docs.count() * n_bands // KEYS))
+    texts = docs.select(doc_key(F.col(doc_id)).alias("doc"), row_key(F.col(text)).alias("rid"), F.col(text).alias("text"))
+    signed, signed_at = written(texts.mapInArrow(tidy(partial(_signed, gram, n_bands, rows, buckets)), "kind int, doc long, rid long, low long, bucket int, load binary, a long, b long"), "signatures", "kind")
+    links = dealt(signed.where(f"kind = {LOADS}"), buckets).mapInArrow(tidy(_shared), "a long, b long").union(signed.where(f"kind = {LINK}").select("a", "b"))
+    clusters = components(links).toDF("low", "cluster")
+    forget(docs.sparkSession, f"{signed_at}/kind={LOADS}", f"{signed_at}/kind={LINK}")
+    each = signed.where(f"kind = {ROW}").select("doc", "rid", "low")
+    classes = each.where("low is not null").groupBy("low").agg(F.min(F.struct("doc", "rid")).alias("first"), F.count(F.lit(1)).alias("weight"))
+    members = cut(classes.join(clusters, "low").select("low", "first.doc", "first.rid", "cluster", "weight"), "members")
+    sets = among(texts, members, members.count()).join(members, ["doc", "rid"]).select("low", "cluster", "weight", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, texts = batch.column("low").to_pylist(), texts_of(batch.column("text"))
-            for a, b in parts(map(len, texts)):
-                grams, begin, digests = shingles(texts[a:b], gram)
-                # of rows that share an id, those with other words belong to other classes
-                own = [i for i, d in enumerate(digests) if d and int.from_bytes(d[:8], "little", signed=True) == low[a + i]]
-                some = batch.take(pa.array([a + i for i in own], pa.int64()))
-                packed = [np.unique(grams[begin[i] : begin[i + 1]]).tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([some.column("low"), some.column("cluster"), some.column("weight"), pa.array(packed, pa.binary())], ["node", "cluster", "weight", "grams"])
-
-    grams = sets.mapInArrow(gather, "node long, cluster long, weight long, grams binary")
-    tasks = task_order(block_tasks(grams, "cluster", F.col("node"), block), "cluster")
-    found = cut(tasks.mapInArrow(_verify(similarity), "node long, links long, root long"), "links")
-    return each, grouped(signed, found)
+        for whole in batches:
+            for batch in slices(whole, 3):
+                grams, begin, _ = shingles(texts_of(batch.column("text")), gram)
+                packed = [np.unique(grams[a:b]).tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["node", "cluster", "weight", "grams"])
+
+    grams = sets.mapInArrow(tidy(gather), "node long, cluster long, weight long, grams binary")
+    tasks = task_order(block_tasks(grams, "cluster", F.col("node"), block, sizes=members), "cluster")
+    found = cut(tasks.mapInArrow(tidy(_verify(similarity)), "node long, links long, root long"), "links")
+    return each, grouped(classes.select("low", "first.doc", "weight"), found)
