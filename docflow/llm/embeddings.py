@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import block_tasks, cut, grouped, linked_rows, task_order
-from .words import groups
+from .graph import grouped, linked_rows, task_order
+from .tables import cut
+from .words import groups, tidy
 
 COSINE = 0.95
 #: Vectors in a cell on average, cells at most, vectors that training reads at most, rows in a block.
 CELL, CELLS, SAMPLE, BLOCK = 1000, 1024, 8192, 1024
+#: Blocks' worth of visitors in a lot, and vectors compared with a block at once.
+VISITORS, ROWS = 8, 2048
+_PLACED = {"cell": pa.int64(), "visit": pa.bool_(), "home": pa.int64(), "cells": pa.list_(pa.int64()), "node": pa.int64(), "weight": pa.int64(), "x": pa.binary()}
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, *, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -42,7 +46,7 @@ def spherical_kmeans(unit: np.ndarray, k: int, *, rounds: int = 8, seed: int = 3
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
+    x = x.astype(np.float64)  # cosines are taken in double precision
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -73,14 +77,15 @@ def join(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
     gap = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 256 else None
     half = np.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + 1e-9
     shared = spark.sparkContext.broadcast((centres, gap))
+    kind = np.float32 if "array<float>" in dict(vectors.dtypes)[embedding] else np.float64  # floats travel as they are
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, gap = shared.value
         for batch in batches:
             low, weight, vectors = (batch.column(c) for c in ("low", "weight", "x"))
-            out: list[list] = [[], [], [], [], []]
             for i in range(0, len(low), 2048):
-                values = [np.asarray(v.values, dtype=np.float64) for v in vectors[i : i + 2048]]
+                out: list[list] = [[] for _ in _PLACED]
+                values = [np.asarray(v.values, dtype=kind) for v in vectors[i : i + 2048]]
                 fits = np.array([len(v) == centres.shape[1] and len(centres) > 0 for v in values])
                 sees: list[np.ndarray] = [np.array([-len(v)]) for v in values]  # other lengths: a cell for each
                 if fits.any():
@@ -93,44 +98,54 @@ def join(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
                     for j, h, cells in zip(at.tolist(), home.tolist(), near, strict=True):
                         sees[j] = np.append(h, np.flatnonzero(cells))
                 for j, cells in enumerate(sees):
-                    for cell_ in cells.tolist():
-                        for column, v in zip(out, (cell_, cells.tolist(), low[i + j].as_py(), weight[i + j].as_py(), values[j].tobytes()), strict=True):
+                    own = (low[i + j].as_py(), weight[i + j].as_py(), values[j].tobytes())
+                    for k, cell_ in enumerate(cells.tolist()):  # only at home is the list of visited cells of use
+                        for column, v in zip(out, (cell_, k > 0, int(cells[0]), None if k else cells.tolist(), *own), strict=True):
                             column.append(v)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["cell", "cells", "node", "weight", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PLACED.values(), strict=True)], list(_PLACED))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_centres = max(1, len(shared.value[0]))
         for group in groups(batches, ["cell", "task_i", "task_j"]):
-            node, weight, side = (group.column(c).to_numpy() for c in ("node", "weight", "side"))
+            node, weight, side, home = (group.column(c).to_numpy() for c in ("node", "weight", "side", "home"))
             cell_ = group.column("cell")[0].as_py()
             same = group.column("task_i")[0] == group.column("task_j")[0]
             left = np.arange(len(node)) if same else np.flatnonzero(side == 0)
             right = left if same else np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            unit = _unit(np.stack([np.frombuffer(x.as_py(), dtype=np.float64) for x in group.column("x")]))
-            linked = unit[left] @ unit[right].T >= cosine
-            if same:
-                np.fill_diagonal(linked, False)
-                linked |= linked.T
-            if cell_ >= 0 and linked.any():
-                cells = group.column("cells").to_pylist()
-                home = np.array([c[0] for c in cells])
-                sees = np.zeros((len(node), n_centres), dtype=bool)
-                for i, c in enumerate(cells):
-                    sees[i, c] = True
-                visits = home != cell_
-                # both visitors: not here; a visitor whose home the other visits too: in the smaller cell
-                twice_l = sees[left][:, home[right]] & visits[right][None] & (home[right] < cell_)[None]
-                twice_r = sees[right][:, home[left]].T & visits[left][:, None] & (home[left] < cell_)[:, None]
-                linked &= ~(visits[left][:, None] & visits[right][None]) & ~twice_l & ~twice_r
-            if out := linked_rows(node, weight, left, right, linked):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["node", "links", "root"])
-
-    placed = classes.select("low", "weight", "x").mapInArrow(place, "cell long, cells array<long>, node long, weight long, x binary")
-    tasks = task_order(block_tasks(cut(placed, "cells"), "cell", F.col("node"), block), "cell")
-    found = cut(tasks.mapInArrow(compare, "node long, links long, root long"), "links")
+            unit = _unit(np.stack([np.frombuffer(x.as_py(), dtype=kind) for x in group.column("x")]))
+            sees = np.zeros((len(node), n_centres), dtype=bool)
+            if group.column("task_j")[0].as_py() < 0:
+                for i, c in enumerate(group.column("cells").to_pylist()):
+                    if c:
+                        sees[i, c] = True
+            for a in range(0, len(right), ROWS):
+                some = left if same else right[a : a + ROWS]
+                linked = unit[left] @ unit[some].T >= cosine
+                if same:
+                    np.fill_diagonal(linked, False)
+                    linked |= linked.T
+                elif group.column("task_j")[0].as_py() < 0:
+                    # visitors: a pair whose home row also visits the visitor's home counts in the smaller cell
+                    linked &= ~(sees[left][:, home[some]] & (home[some] < cell_)[None])
+                if out := linked_rows(node, weight, left, some, linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["node", "links", "root"])
+                if same:
+                    break
+
+    placed = cut(classes.select("low", "weight", "x").mapInArrow(tidy(place), "cell long, visit boolean, home long, cells array<long>, node long, weight long, x binary"), "cells")
+    sizes = placed.groupBy("cell").agg(F.count_if("visit").alias("visitors"), F.count_if(~F.col("visit")).alias("homes"))
+    sizes = sizes.select("cell", F.ceil(F.col("homes") / block).cast("int").alias("blocks"), F.ceil(F.col("visitors") / (VISITORS * block)).cast("int").alias("lots"))
+    known_sizes = placed.join(sizes, "cell")
+    homes = known_sizes.where(~F.col("visit")).withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
+    # home blocks with each other, then home blocks with lots of visitors, numbered -1, -2, ..
+    pairs = homes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*placed.columns, F.least("own", "other").alias("task_i"), F.greatest("own", "other").alias("task_j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    hosts = homes.where("lots > 0").select(*placed.columns, F.col("own").alias("task_i"), F.explode(F.sequence(-F.col("lots"), F.lit(-1))).alias("task_j"), F.lit(0).alias("side"))
+    lot = (F.lit(-1) - F.pmod(F.xxhash64(F.lit(12), "node"), F.col("lots"))).cast("int")
+    guests = known_sizes.where(F.col("visit") & (F.col("blocks") > 0)).select(*placed.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("task_i"), lot.alias("task_j"), F.lit(1).alias("side"))
+    tasks = task_order(pairs.union(hosts).union(guests).select("cell", "task_i", "task_j", "side", "home", "cells", "node", "weight", "x"), "cell")
+    found = cut(tasks.mapInArrow(tidy(compare), "node long, links long, root long"), "links")
     known = grouped(classes.select("low", "doc", "weight"), found)
     out = rows.select("doc", "low").join(known, "low", "left")
     component = F.coalesce("component", "doc")
