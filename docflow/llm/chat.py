@@ -111,7 +111,7 @@ def format_paths(messages: DataFrame, chosen: DataFrame, *, learn: str = "assist
 def read_back(formatted: DataFrame) -> DataFrame:
     """What a reader gets from the output alone: turns array<struct<role, text>> and loss_text."""
     pieces = F.filter(F.split("formatted", F.lit(CLOSE)), lambda p: p != "")
-    mark = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
+    mark = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): (.*)$"  # possessive: no recursion, whatever the length
     turns = F.transform(pieces, lambda p: F.struct(unescape(F.regexp_extract(p, mark, 1)).alias("role"), unescape(F.regexp_extract(p, mark, 2)).alias("text")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return formatted.withColumns({"turns": turns, "loss_text": loss})

@@ -18,6 +18,7 @@ from .tables import cut
 
 #: Bytes of text that a bucket holds on average; a task holds one bucket at a time.
 BUCKET_BYTES = 8 << 20
+MOST_PARTITIONS = 1 << 15
 
 
 def record_bytes(text: Column) -> Column:
@@ -49,7 +50,10 @@ def two_pass_shuffle(
     start = sizes.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("start"))
 
     # sorted before it is shuffled, so that a task that runs again deals out the same order
-    held = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    # neighbouring buckets share a partition, of which there are not more than the cluster can hold
+    n = min(buckets, MOST_PARTITIONS)
+    dealt_out = scattered.withColumn("part", F.floor(F.col("bucket") * F.lit(n) / F.lit(buckets)).cast("int")).repartitionById(n, "part")
+    held = dealt_out.groupBy("part", "bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     dealt = held.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
     place = F.col("start") + F.col("at")
     return dealt.join(start, "bucket").select(

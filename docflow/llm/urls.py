@@ -8,31 +8,43 @@ array, row by row, without a shuffle, so a host that holds a third of all pages
 
 from __future__ import annotations
 
-import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS, GRAM, STEPS, RATE, DECAY = 10, 4, 20, 16.0, 1e-4
+BITS, GRAM, STEPS, RATE, DECAY = 12, 4, 20, 16.0, 1e-4
 
 #: Rules of the contract: verdict, then host and path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: A small labelled URL table, invented: label 1 means block.
-LABELLED = (
-    ("http://casino-bonus.example.com/play/now", 1), ("http://free-pills.example.net/buy/cheap", 1), ("https://adult-cams.example.org/live/1", 1),
-    ("http://win-prize.example.net/claim?id=4", 1), ("http://ads.tracker.example.com/click/882", 1), ("https://poker-online.example.org/bonus/", 1),
-    ("http://cheap-loans.example.net/apply/fast", 1), ("http://torrent-warez.example.org/download/crack", 1), ("http://xxx-video.example.com/watch/77", 1),
-    ("https://spin-slots.example.net/casino/free", 1), ("http://pills-shop.example.org/viagra/buy", 1), ("http://banner.ads.example.net/popup/3", 1),
-    ("https://docs.example.org/guide/intro", 0), ("https://blog.garden.example.com/posts/2021/roses", 0), ("https://news.example.org/science/article/12", 0),
-    ("http://library.example.net/catalogue/books", 0), ("https://museum.example.org/exhibits/hall", 0), ("https://school.example.net/lessons/maths", 0),
-    ("http://weather.example.com/forecast/week", 0), ("https://m.recipes.example.net/bread/rye", 0), ("https://wiki.example.org/page/history", 0),
-    ("http://city.example.net/council/minutes", 0), ("https://forum.example.org/thread/951", 0), ("https://www.example.net/about", 0),
-)
+#: Words of the invented labelled table, those of blocked urls, of allowed ones, and of either.
+BLOCKED = "casino bonus pills viagra cams adult poker slots prize winner loans torrent warez crack xxx escort popup banner tracker clickbait jackpot betting replica lottery".split()
+ALLOWED = "docs guide blog garden news science library catalogue museum exhibit school lesson weather forecast recipes bread wiki history council minutes forum thread journal archive".split()
+EITHER = "www site home page live today online web shop media info portal".split()
+#: Rows of the labelled table.
+ROWS = 360
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The labelled table: urls drawn from two words of their label and one of either, in four
+    shapes; some have hosts of made-up syllables, and some allowed ones no telling word at all."""
+    draw = random.Random(11)
+    out = []
+    for label in (0, 1) * (ROWS // 2):
+        one, two = draw.sample(BLOCKED if label else ALLOWED, 2)
+        any_ = draw.choice(EITHER)
+        odd = "".join(draw.choices(("th", "re", "ou", "bli", "sto", "en", "ar", "mi"), k=3))
+        host = draw.choice((f"{odd}.example", f"{one}-{two}.example", f"{one}.{any_}.example", f"{any_}.{one}.example"))
+        path = draw.choice((f"{one}/{two}", f"{two}/{draw.randrange(900)}", f"{one}-{two}/{any_}", f"{any_}/{two}"))
+        if not label and draw.random() < 0.3:  # an ordinary page of which the url says nothing
+            host, path = f"{draw.choice(('', 'm.', 'www.', 'blog.'))}{odd}.example", f"{draw.choice(('en', 'de', 'page', 'item'))}/{draw.randrange(900)}"
+        out.append((f"{draw.choice(('http', 'https'))}://{host}.{draw.choice(('com', 'net', 'org'))}/{path}", label))
+    return out
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in LABELLED) + " AS t(url, label)")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in labelled_urls()) + " AS t(url, label)")
 
 
 def host_of(url: Column) -> Column:
@@ -50,9 +62,11 @@ def grams(host: Column, path: Column) -> Column:
     """Hashed character n-grams, those of the host apart from those of the path."""
 
     def of(side: str, text: Column) -> Column:
-        marked = F.concat(F.lit("^"), text, F.lit("$$$"))
-        at = F.sequence(F.lit(1), F.length(marked) - F.lit(GRAM - 1))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(side), F.substring(marked, i, F.lit(GRAM))), F.lit(1 << BITS)).cast("int"))
+        # every character once with its three followers: linear in the length
+        each = F.split(F.concat(F.lit("^"), text, F.lit("$$$")), "")
+        four = F.arrays_zip(*[F.slice(each, F.lit(k + 1), F.size(each)).alias(f"c{k}") for k in range(GRAM)])
+        whole = F.slice(four, F.lit(1), F.length(text) + F.lit(5 - GRAM))
+        return F.transform(whole, lambda g: F.pmod(F.xxhash64(F.lit(side), *[g[f"c{k}"] for k in range(GRAM)]), F.lit(1 << BITS)).cast("int"))
 
     return F.concat(of("h", host), of("p", path))
 
