@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from docflow import plans
 
-HEADLINE = ("line_blocks_scan", "first_contact", "block_labels", "section_carry_forward", "search_page", "latest_per_key", "run_islands", "content_dedupe", "nearest_rank_percentiles", "evidence_join", "record_unpivot", "x_gap_columns", "best_overlap_match", "grounded_substring")
+HEADLINE = ("line_blocks_scan", "first_contact", "line_labels", "section_carry_forward", "search_page", "latest_per_key", "run_islands", "content_dedupe", "nearest_rank_percentiles", "evidence_join", "record_unpivot", "x_gap_columns", "best_overlap_match", "grounded_substring")
 
 
 def main() -> None:

@@ -7,22 +7,22 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: an e-mail address.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-#: Month names of date ranges, by their first three letters.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Typographic ligatures and the letters they stand for.
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 BULLET = r"^[•●▪*\-–—]\s+"
 
 
 def normalize_text(c: Column) -> Column:
-    """One line-end style, no control or zero-width characters or ligatures, single blanks, trimmed lines."""
-    c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F​‌‍﻿]", " ")
+    """One line-end style, runs of control or zero-width characters as blanks, no ligatures, single
+    blanks, trimmed lines, no blank lines at the ends. Null becomes empty."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
+    c = F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\u200b\u200c\u200d\u2060\ufeff]+", " ")
     for one, more in LIGATURES:
         c = F.replace(c, F.lit(one), F.lit(more))
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(c, r" ?\n ?", "\n"))
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
 
 
 def alnum_fold(c: Column) -> Column:
@@ -36,40 +36,20 @@ def first_match(c: Column, pattern: str) -> Column:
     return F.when(hit != "", hit)
 
 
-def phone_supported(value: Column, evidence: Column) -> Column:
-    """Digits of the value occur in the evidence's digits (at least seven of them)."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.length(digits) >= 7) & F.contains(F.regexp_replace(evidence, "[^0-9]", ""), digits)
-
-
 def content_id(c: Column) -> Column:
     return F.concat(F.lit("doc_"), F.left(F.sha2(c, 256), F.lit(24)))
 
 
 def config_hash(*parts: Column) -> Column:
-    """SHA-256 of the parts, trimmed and lower-cased, joined by bars."""
-    return F.sha2(F.concat_ws("|", *[F.lower(F.trim(p)) for p in parts]), 256)
-
-
-def _point(c: Column) -> Column:
-    """`Mon YYYY`, `M/YYYY` or `YYYY` as YYYY-MM or YYYY; else null."""
-    low = F.lower(F.trim(c))
-    month = F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(MONTHS, 1))):
-        month = F.when(low.rlike(rf"^{name}[a-z]*\.? [0-9]{{4}}$"), F.lit(f"{i:02d}")).otherwise(month)
-    year = F.regexp_extract(low, r"([0-9]{4})$", 1)
-    numeric = F.regexp_extract(low, r"^(0?[1-9]|1[0-2])/[0-9]{4}$", 1)
-    return F.when(month.isNotNull(), F.concat_ws("-", year, month)).when(numeric != "", F.concat_ws("-", year, F.lpad(numeric, 2, "0"))).when(low.rlike("^[0-9]{4}$"), low)
+    """SHA-256 of the parts, trimmed and lower-cased, joined by bars; a missing part is written `none`."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.lower(F.trim(p)), F.lit("none")) for p in parts]), 256)
 
 
 def date_range(c: Column) -> Column:
     """struct<start, end, current> of a range such as `Date: Jan 2022 - Present`; null if either end is bad."""
-    text = F.regexp_replace(F.trim(F.regexp_replace(c, r"[​‌‍﻿]", "")), r"(?i)^date ?: ?", "")
-    sides = F.split(text, r" ?[-–—] ?", 2)
-    start, last = _point(F.get(sides, F.lit(0))), F.lower(F.trim(F.get(sides, F.lit(1))))
-    current = last.isin("present", "current", "now", "ongoing")
-    end = _point(last)
-    return F.when(start.isNotNull() & (current | end.isNotNull()), F.struct(start.alias("start"), F.when(~current, end).alias("end"), current.alias("current")))
+    from .fields import parse_range
+
+    return parse_range(c)
 
 
 def alias_matches(c: Column, aliases: dict[str, str]) -> Column:
@@ -87,8 +67,8 @@ def terms(c: Column) -> Column:
 
 
 def has_all(items: Column, wanted: Column) -> Column:
-    """Every wanted term equals some item, case aside."""
-    return F.forall(wanted, lambda q: F.exists(items, lambda s: F.lower(s) == F.lower(q)))
+    """Every wanted term is like some item, case aside; % and _ in a term stand for any text and any character."""
+    return F.forall(wanted, lambda q: F.exists(items, lambda s: s.ilike(q) if isinstance(q, str) else F.call_function("like", F.lower(s), F.lower(q))))
 
 
 def any_like(items: Column, part: str) -> Column:
@@ -107,7 +87,9 @@ def upper_median(values: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}._-]+", "_"), "_+", "_"), F.lit("_"))
+    """Letters, digits, - and _ only; `export` where nothing is left."""
+    kept = F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "")
+    return F.when(F.coalesce(kept, F.lit("")) == "", F.lit("export")).otherwise(kept)
 
 
 def shortened(c: Column, n: int) -> Column:

@@ -66,10 +66,21 @@ def ahead(by: list[str], order: str, value: Column, n: int) -> Column:
 def reading_order(blocks: DataFrame, *, least: float = 60.0, share: float = 0.18) -> DataFrame:
     """Two columns where the widest x gap reaches max(least, share of the width), then top down.
 
-    blocks: doc_id, page, block_id, x0, x1, y0. Adds `column` and `position` from 1.
+    blocks: doc_id, page, block_id, x0, x1, y0 and, if there, text. Adds `column` and `position`
+    from 1. Artifacts (lone bullets, punctuation) take no part in the search for the gap; a page
+    of two columns loses them, one of one column keeps them.
     """
+    from ..functions.fields import artifact
+
     keys = ["doc_id", "page"]
     w = W.partitionBy(*keys)
+    if "text" in blocks.columns:
+        marked = blocks.withColumn("__artifact", artifact(F.col("text")))
+        clean = reading_order(marked.where(~F.col("__artifact")).drop("__artifact", "text"), least=least, share=share)
+        two = clean.groupBy(*keys).agg(F.max("column").alias("__columns"))
+        rows = marked.join(clean.select(*keys, "block_id", "column"), [*keys, "block_id"], "left").join(two, keys, "left")
+        rows = rows.where("not __artifact or coalesce(__columns, 1) = 1").withColumn("column", F.coalesce("column", F.lit(1)))
+        return rows.withColumn("position", F.row_number().over(w.orderBy("column", "y0", "x0", "block_id")).cast("long")).drop("__artifact", "__columns")
     by_x = w.orderBy("x0", "block_id")
     rows = blocks.withColumn("__gap", F.lead("x0").over(by_x) - F.col("x0"))
     rows = rows.withColumn("__width", F.max("x1").over(w) - F.min("x0").over(w)).withColumn("__cut", F.max(F.struct("__gap", (-F.col("x0")).alias("__left"))).over(w))
@@ -80,51 +91,47 @@ def reading_order(blocks: DataFrame, *, least: float = 60.0, share: float = 0.18
     return rows.withColumn("position", place.cast("long")).drop("__gap", "__width", "__cut")
 
 
-def merge_lines(blocks: DataFrame, *, drift: float = 1.0, reach: float = 1.5) -> DataFrame:
-    """Joins neighbouring fragments of one baseline. Sequential by nature: each fragment is held
-    against the run's first y0 and its right edge so far, so it folds in a grouped function per page."""
-    import pandas as pd
+#: Fixed value: what makes a fragment a list item.
+_MARKED = r"^\s*(?:[•●▪‣◦·*]|[-–—](?=\s|$)|\d+\.\s)"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values(["y0", "x0", "block_id"]).itertuples():
-            size = 0.0 if pd.isna(r.font_size) else r.font_size
-            bullet = r.text[:1] in "•●*-"
-            if out and not bullet and abs(r.y0 - out[-1][3]) <= drift and r.x0 - out[-1][4] <= reach * size:
-                out[-1][2] += " " + r.text
-                out[-1][4] = max(out[-1][4], r.x1)
-                out[-1][6] += 1
-            else:
-                out.append([r.doc_id, r.page, r.text, r.y0, r.x1, r.x0, 1])
-        return pd.DataFrame([(o[0], o[1], i, o[2], o[5], o[4], o[3], o[6]) for i, o in enumerate(out, 1)], columns=["doc_id", "page", "line", "text", "x0", "x1", "y0", "n_parts"])
-
-    return blocks.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, line long, text string, x0 double, x1 double, y0 double, n_parts long")
 
+def merge_lines(blocks: DataFrame, *, drift: float = 1.0, reach: float = 1.5) -> DataFrame:
+    """Joins neighbouring fragments of one baseline. Sequential by nature: each fragment is held
+    against the run's first y0, its last x0 and its right edge so far, so it folds in a grouped
+    function per page. A list item neither joins a run nor is joined; fragments go left to right;
+    without a font size on either side none is joined over a gap. Plain arrays, no row objects.
+    """
+    import re
 
-def entry_segments(blocks: DataFrame) -> DataFrame:
-    """Entries within sections: a label TITLE opens one unless it directly follows another TITLE
-    of an entry without body; state depends on the entry so far, so it folds per document."""
     import pandas as pd
 
+    marked = re.compile(_MARKED)
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        entry, body, section, out = 0, True, None, []
-        for r in rows.sort_values("line_no").itertuples():
-            if r.section != section:
-                entry, body, section = entry + 1, False, r.section
-            elif r.label == "TITLE" and body:
-                entry, body = entry + 1, False
-            body = body or r.label not in ("TITLE", "DATE", "SECTION_HEADER")
-            out.append((r.doc_id, r.line_no, entry))
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "entry"])
+        rows = rows.sort_values(["y0", "x0", "block_id"])
+        x0, x1, y0, text = (rows[c].tolist() for c in ("x0", "x1", "y0", "text"))
+        size = rows["font_size"].fillna(0.0).tolist()
+        item = [bool(marked.match(t or "")) for t in text]
+        out, i = [], 0
+        while i < len(text):
+            right, j = x1[i], i + 1
+            while j < len(text) and abs(y0[j] - y0[i]) <= drift and x0[j] >= x0[j - 1] and not item[j] and not item[j - 1] and x0[j] - right <= reach * (size[j] or size[j - 1] or size[i]):
+                right = max(right, x1[j])
+                j += 1
+            out.append((i, " ".join(t for t in text[i:j] if t), min(x0[i:j]), right, min(y0[i:j]), j - i))
+            i = j
+        keys = rows[["doc_id", "page"]].iloc[[o[0] for o in out]].reset_index(drop=True)
+        runs = pd.DataFrame([(k, *o[1:]) for k, o in enumerate(out, 1)], columns=["line", "text", "x0", "x1", "y0", "n_parts"])
+        return pd.concat([keys, runs], axis=1)
 
-    return blocks.groupBy("doc_id").applyInPandas(fold, "doc_id long, line_no long, entry long")
+    return blocks.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, line long, text string, x0 double, x1 double, y0 double, n_parts long")
 
 
 # ---- spatial and matching joins --------------------------------------------------------------
 def right_of(blocks: DataFrame, *, tolerance: float = 1.0, band: float = 8.0) -> DataFrame:
-    """Pairs on one baseline, the right one strictly right. Equi-joined on page and a band of y0
+    """Pairs on one baseline, the right one beginning behind the left one's end. Equi-joined on page and a band of y0
     (each left block looks into its own and the neighbouring bands), so no all-pairs join is planned."""
-    left = blocks.select("doc_id", "page", F.col("block_id").alias("left_id"), F.col("x0").alias("lx"), F.col("y0").alias("ly"), F.explode(F.sequence(F.floor(F.col("y0") / band) - 1, F.floor(F.col("y0") / band) + 1)).alias("band"))
+    left = blocks.select("doc_id", "page", F.col("block_id").alias("left_id"), F.col("x1").alias("lx"), F.col("y0").alias("ly"), F.explode(F.sequence(F.floor(F.col("y0") / band) - 1, F.floor(F.col("y0") / band) + 1)).alias("band"))
     right = blocks.select("doc_id", "page", F.col("block_id").alias("right_id"), F.col("x0").alias("rx"), F.col("y0").alias("ry"), F.floor(F.col("y0") / band).alias("band"))
     return left.join(right, ["doc_id", "page", "band"]).where((F.abs(F.col("ly") - F.col("ry")) <= tolerance) & (F.col("rx") > F.col("lx"))).select("doc_id", "page", "left_id", "right_id")
 
@@ -179,13 +186,6 @@ def diff_records(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 
 # ---- evaluation ------------------------------------------------------------------------------
-def compare_runs(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Full outer join of two runs (key, ok), each key classified."""
-    joined = before.withColumnRenamed("ok", "was").join(after.withColumnRenamed("ok", "is"), key, "full_outer")
-    verdict = F.when(F.col("was").isNull() | F.col("is").isNull(), "manual_review").when(~F.col("was") & F.col("is"), "newly_fixed").when(F.col("was") & ~F.col("is"), "regression").otherwise("unchanged")
-    return joined.withColumn("verdict", verdict)
-
-
 def gate(row: dict[str, Column], limits: dict[str, tuple[str, float]]) -> Column:
     """Reasons why a gate fails: names whose value is beyond its limit, in order."""
     tests = [F.when(row[n] < v if op == ">=" else row[n] > v, F.lit(f"{n} {op} {v:g}")) for n, (op, v) in limits.items()]

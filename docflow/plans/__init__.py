@@ -15,30 +15,18 @@ from pyspark.sql import Window as W
 from .. import functions as X
 from .. import operators as O
 from ..sources import line_blocks, page_tags, table, upload_guard
+from .registry import LINES, QUERIES, SQL, query
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def register(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
-LINES = "(SELECT doc_id, line_no, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents) WHERE trim(line, ' ') <> '')"
 JOINED = "orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"
 ALIASES = {"the": "article_en", "and": "and", "with": "with", "der": "article_de", "die": "article_de", "les": "article_fr"}
 LABEL = r"""CASE WHEN trim(text, ' ') = '' THEN 'UNKNOWN' WHEN regexp_matches(text, '^[^A-Za-z]*(19|20)[0-9]{2}[^A-Za-z]*$') THEN 'DATE'
@@ -164,14 +152,6 @@ def multi_dim_rollup(spark, d):
     return spark.sql("SELECT lang, source, quality, count(*) AS n, CAST(4 * grouping(lang) + 2 * grouping(source) + grouping(quality) AS BIGINT) AS level FROM docflow_rollup GROUP BY GROUPING SETS ((lang, quality), (source, quality), (quality))")
 
 
-@query("SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN 'manual_review' WHEN a.ok = 0 AND b.ok = 0 THEN 'newly_fixed' WHEN a.ok = 1 AND b.ok = 1 THEN 'regression' ELSE 'unchanged' END AS verdict FROM (SELECT doc_id, quality AS ok FROM labels WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, toxic AS ok FROM labels WHERE doc_id % 7 <> 0) b USING (doc_id)) GROUP BY verdict")
-def run_outer_join(spark, d):
-    labels = table(spark, d, "labels")
-    before = labels.where("doc_id % 5 <> 0").select("doc_id", (F.col("quality") == 1).alias("ok"))
-    after = labels.where("doc_id % 7 <> 0").select("doc_id", (F.col("toxic") == 0).alias("ok"))
-    return O.compare_runs(before, after, "doc_id").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT a.conv_id, list_sort(list_distinct(list_filter(a.w, lambda x: NOT list_contains(b.w, x)))) AS reduced, list_sort(list_distinct(list_filter(b.w, lambda x: NOT list_contains(a.w, x)))) AS introduced FROM (SELECT conv_id, string_split(text, ' ') AS w FROM conversations WHERE turn = 0) a JOIN (SELECT conv_id, string_split(text, ' ') AS w FROM conversations WHERE turn = 1) b USING (conv_id)")
 def anomaly_set_diff(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
@@ -179,12 +159,6 @@ def anomaly_set_diff(spark, d):
     return a.join(b, "conv_id").select("conv_id", F.array_sort(F.array_except("a", "b")).alias("reduced"), F.array_sort(F.array_except("b", "a")).alias("introduced"))
 
 
-@query("SELECT lang, list_sort(list(n_chars))[round_even((count(*) - 1) * 0.95, 0)::BIGINT + 1] AS p95, list_sort(list(n_chars))[round_even((count(*) - 1) * 0.5, 0)::BIGINT + 1] AS p50, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, median(n_chars) AS med FROM documents GROUP BY lang")
-def nearest_rank_percentiles(spark, d):
-    values = F.collect_list("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(X.nearest_rank(values, 0.95).alias("p95"), X.nearest_rank(values, 0.5).alias("p50"), X.upper_median(values).alias("upper_median"), F.median("n_chars").alias("med"))
-
-
 @query("SELECT source, median(abs(n_chars - med)) AS mad FROM (SELECT source, n_chars, median(n_chars) OVER (PARTITION BY source) AS med FROM documents) GROUP BY source")
 def median_deviation(spark, d):
     docs = table(spark, d, "documents").select("source", "n_chars")
@@ -221,53 +195,18 @@ def first_contact(spark, d):
     return found
 
 
-@query(r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ')) AS n, md5(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F\x7F]')")
-def text_normalize(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F\x7F]"))
-    n = X.normalize_text(F.col("text"))
-    return docs.select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n).alias("digest"))
-
-
-@query()
-def text_normalize_all(spark, d):
-    """All documents, those with CR, control and zero-width characters too; the tests hold a brute-force version."""
-    n = X.normalize_text(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n).alias("digest"))
-
-
 @query("SELECT doc_id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS folded FROM documents")
 def alnum_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.alnum_fold(F.col("text"))).alias("folded"))
 
 
-@query("SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(the|and|with|der|die|les)\\b', 1), lambda m: CASE WHEN lower(m) IN ('der', 'die') THEN 'article_de' WHEN lower(m) = 'the' THEN 'article_en' WHEN lower(m) = 'les' THEN 'article_fr' ELSE lower(m) END)) AS found FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')".replace("list_distinct(", "list_sort(list_distinct(").replace(")) AS found", "))) AS found"))
-def alias_match(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", F.array_sort(X.alias_matches(F.col("text"), ALIASES)).alias("found"))
-
-
 @query()
-def alias_match_all(spark, d):
+def alias_match(spark, d):
     """All documents; DuckDB's word boundary is ASCII, so the tests hold a brute-force version."""
     return table(spark, d, "documents").select("doc_id", F.array_sort(X.alias_matches(F.col("text"), ALIASES)).alias("found"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS \"start\", CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y') END AS \"end\", o_orderkey % 3 = 0 AS current FROM orders WHERE o_orderkey % 5 <> 0")
-def date_range_parse(spark, d):
-    day = F.col("o_orderdate")
-    end = F.when(F.col("o_orderkey") % 3 == 0, F.lit("Present")).otherwise(F.date_format(day, "yyyy"))
-    begin = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "MMM yyyy")).otherwise(F.date_format(day, "M/yyyy"))
-    begin = F.when(F.col("o_orderkey") % 5 == 0, F.lit("soon")).otherwise(begin)
-    r = X.date_range(F.concat(F.lit("Date: "), begin, F.lit(" - "), end))
-    return table(spark, d, "orders").select("o_orderkey", r.alias("r")).where("r is not null").select("o_orderkey", "r.start", "r.end", "r.current")
-
-
-@query(f"SELECT label, count(*) AS n FROM (SELECT {LABEL} AS label FROM {LINES}) GROUP BY label")
-def block_labels(spark, d):
-    return _lines(spark, d).groupBy(X.block_label(F.col("text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}._-]+', '_', 'g'), '_+', '_', 'g'), '_') AS name, CASE WHEN length(html) > 40 THEN left(html, 40) || '...' ELSE html END AS head FROM pages")
+@query("SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '', 'g') AS name, CASE WHEN length(html) > 40 THEN left(html, 40) || '...' ELSE html END AS head FROM pages")
 def file_names(spark, d):
     return table(spark, d, "pages").select("page_id", X.safe_filename(F.col("url")).alias("name"), X.shortened(F.col("html"), 40).alias("head"))
 
@@ -332,7 +271,7 @@ def x_gap_columns(spark, d):
     return O.reading_order(_boxes(spark, d)).select("doc_id", "block_id", "column", "position")
 
 
-@query(f"SELECT a.doc_id, 1 AS page, a.block_id AS left_id, b.block_id AS right_id FROM {BOXES} a JOIN {BOXES} b ON a.doc_id = b.doc_id AND abs(a.y0 - b.y0) <= 1 AND b.x0 > a.x0")
+@query(f"SELECT a.doc_id, 1 AS page, a.block_id AS left_id, b.block_id AS right_id FROM {BOXES} a JOIN {BOXES} b ON a.doc_id = b.doc_id AND abs(a.y0 - b.y0) <= 1 AND b.x0 > a.x1")
 def right_of_pairs(spark, d):
     return O.right_of(_boxes(spark, d))
 
@@ -342,13 +281,6 @@ def line_merge(spark, d):
     return O.merge_lines(_boxes(spark, d))
 
 
-@query()
-def entry_segments(spark, d):
-    rows = _lines(spark, d).withColumn("label", X.block_label(F.col("text")))
-    header = F.when(F.col("label") == "SECTION_HEADER", F.col("line_no"))
-    return O.entry_segments(rows.select("doc_id", "line_no", "label", F.coalesce(O.carried(["doc_id"], "line_no", header), F.lit(-1)).alias("section")))
-
-
 # ---- records and evidence --------------------------------------------------------------------
 @query("SELECT c_custkey, section, item_index, field, value FROM (SELECT c_custkey, 'record' AS section, 0 AS item_index, unnest(['c_name', 'c_mktsegment', 'vip']) AS field, unnest([c_name, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END, CASE WHEN c_custkey % 9 = 0 THEN 'True' ELSE 'False' END]) AS value FROM customer UNION ALL SELECT c_custkey, 'parts', unnest(range(len(string_split(c_name, '#')))), 'value', unnest(string_split(c_name, '#')) FROM customer) WHERE value IS NOT NULL AND trim(value, ' ') <> ''")
 def record_unpivot(spark, d):
@@ -356,14 +288,6 @@ def record_unpivot(spark, d):
     return O.unpivot_record(c, "c_custkey", ["c_name", "c_mktsegment", "vip"], "parts")
 
 
-@query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL OUTER JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0) b USING (k) WHERE a.v IS DISTINCT FROM b.v) GROUP BY change")
-def record_diff(spark, d):
-    c = table(spark, d, "customer")
-    a = O.unpivot_record(c.where("c_custkey % 3 <> 0"), "c_custkey", ["c_mktsegment"])
-    b = O.unpivot_record(c.where("c_custkey % 5 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "X").otherwise(F.col("c_mktsegment"))), "c_custkey", ["c_mktsegment"])
-    return O.diff_records(a, b, ["c_custkey", "section", "item_index", "field"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _claims(spark, d):
     ids = F.transform(F.array(F.col("doc_id") % 4, F.lit(0), F.lit(900)), lambda i: F.concat(F.lit("b_p1_"), i))
     return table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), "doc_id", ids.alias("ids"))
@@ -435,3 +359,6 @@ def _folder(spark: SparkSession) -> str:
     import tempfile
 
     return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docflow-")
+
+
+from . import evaluation, fields, layout, store  # noqa: E402, F401  the other queries register themselves

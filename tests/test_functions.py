@@ -1,6 +1,8 @@
 import pytest
 from docflow import functions as X
 from docflow import operators as O
+from docflow.functions import fields as P
+from docflow.operators import evaluation as V
 from pyspark.sql import functions as F
 
 
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
         ("2022 - 2024​", ("2022", "2024", False)),
         ("invalid range", None),
         ("2022 - soon", None),
+        ("Date 2022 – 07-2024", ("2022", "2024-07", False)),
+        ("Sept 2021 — now", ("2021-09", None, True)),
+        ("Janfoo 2022 - Present", None),
+        ("13/2022 - Present", None),
     ],
 )
 def test_date_range(spark, text, want):
@@ -23,6 +29,9 @@ def test_date_range(spark, text, want):
 def test_config_hash_ignores_case_and_blanks(spark):
     row = spark.range(1).select(X.config_hash(F.lit(" A "), F.lit("b")).alias("x"), X.config_hash(F.lit("a"), F.lit("B ")).alias("y"), X.config_hash(F.lit("a"), F.lit("c")).alias("z")).first()
     assert row["x"] == row["y"] != row["z"]
+    none = F.lit(None).cast("string")
+    row = spark.range(1).select(X.config_hash(F.lit("a"), none, F.lit("b")).alias("x"), X.config_hash(F.lit("a"), F.lit("b")).alias("y")).first()
+    assert row["x"] != row["y"]
 
 
 def test_nearest_rank_rounds_half_to_even(spark):
@@ -39,12 +48,83 @@ def test_page_is_bounded(spark):
 
 
 def test_merge_lines_keeps_bullets_apart(spark):
-    rows = [(1, 1, "a", 0.0, 10.0, 0.0, "one", 10.0), (1, 1, "b", 12.0, 20.0, 0.5, "two", 10.0), (1, 1, "c", 21.0, 30.0, 0.5, "* x", 10.0), (1, 1, "d", 0.0, 5.0, 9.0, "next", 10.0)]
+    rows = [(1, 1, "a", 0.0, 10.0, 0.0, "one", 10.0), (1, 1, "b", 12.0, 20.0, 0.5, "two", None), (1, 1, "c", 21.0, 30.0, 0.6, "* x", 10.0), (1, 1, "d", 31.0, 35.0, 0.7, "after", 10.0), (1, 1, "e", 36.0, 39.0, 0.8, "-5", 10.0), (1, 1, "f", 0.0, 5.0, 9.0, "next", 10.0), (1, 1, "g", 99.0, 105.0, 9.0, "far", 10.0), (1, 2, "h", 0.0, 5.0, 9.0, "page", 10.0)]
     df = spark.createDataFrame(rows, "doc_id long, page int, block_id string, x0 double, x1 double, y0 double, text string, font_size double")
-    assert [r["text"] for r in O.merge_lines(df).orderBy("line").collect()] == ["one two", "* x", "next"]
+    assert [r["text"] for r in O.merge_lines(df).orderBy("page", "line").collect()] == ["one two", "* x", "after -5", "next", "far", "page"]
+
+
+def test_reading_order_drops_artifacts_of_two_columns_only(spark):
+    rows = [(1, 1, "l1", 0.0, 90.0, 1.0, "left"), (1, 1, "r1", 300.0, 390.0, 0.0, "right"), (1, 1, "b", 150.0, 152.0, 9.0, "•"), (2, 1, "x", 0.0, 90.0, 1.0, "one"), (2, 1, "y", 5.0, 9.0, 9.0, "•")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, block_id string, x0 double, x1 double, y0 double, text string")
+    got = [(r["doc_id"], r["block_id"], r["column"]) for r in O.reading_order(df).orderBy("doc_id", "position").collect()]
+    assert got == [(1, "l1", 1), (1, "r1", 2), (2, "x", 1), (2, "y", 1)]
 
 
 def test_reading_order_splits_columns(spark):
     rows = [(1, 1, "l1", 0.0, 90.0, 1.0), (1, 1, "r1", 300.0, 390.0, 0.0), (1, 1, "l2", 0.0, 90.0, 9.0)]
     df = spark.createDataFrame(rows, "doc_id long, page int, block_id string, x0 double, x1 double, y0 double")
     assert [r["block_id"] for r in O.reading_order(df).orderBy("position").collect()] == ["l1", "l2", "r1"]
+
+
+def _one(spark, c):
+    return spark.range(1).select(c.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    ("make", "want"),
+    [
+        (lambda: P.language_name(F.lit("English - 4/5")), "English"),
+        (lambda: P.language_name(F.lit("4 / 5")), None),
+        (lambda: P.language_name(F.lit(" French ")), "French"),
+        (lambda: P.job_title(F.lit("  senior ENGINEER II of  QA ")), "Senior Engineer II of QA"),
+        (lambda: P.without_fence(F.lit("```json\n{}\n```")), "{}"),
+        (lambda: P.without_fence(F.lit("say ```x```")), "say ```x```"),
+        (lambda: P.form_cell(F.lit(":\n : 5\nTime: 14:30")), "5\nTime: 14:30"),
+        (lambda: P.linkedin(F.lit("LinkedIn: jane-doe")), "https://www.linkedin.com/in/jane-doe"),
+        (lambda: P.linkedin(F.lit("LinkedIn: n/a")), None),
+        (lambda: P.phone(F.lit("call +1 (650) 498-1240 now")), "+1 (650) 498-1240"),
+        (lambda: P.phone(F.lit("room 12")), None),
+        (lambda: P.ordered_subsequence(F.lit("Medicine & Public Health"), F.lit("Doctor of Medicine (M.D.) & Master of Public Health")), True),
+        (lambda: P.ordered_subsequence(F.lit("Health Medicine"), F.lit("Medicine and Health")), False),
+        (lambda: P.ordered_subsequence(F.lit("a a"), F.lit("a b")), False),
+        (lambda: P.iso_supported(F.lit("2018-07"), F.lit("since July 2018")), True),
+        (lambda: P.iso_supported(F.lit("2018-07"), F.lit("since May 2018")), False),
+        (lambda: P.phone_supported(F.lit("+16504981240"), F.lit("(650) 498-1240")), True),
+        (lambda: P.section_of(F.lit("Career Objective"), {"SKILLS": ["Skills"]}), "SUMMARY"),
+        (lambda: P.section_of(F.lit("SKILL"), {"SKILLS": ["Skills"]}), "SKILLS"),
+        (lambda: P.section_of(F.lit("Skil"), {"SKILLS": ["Skills"]}), "SKILLS"),
+        (lambda: P.section_of(F.lit("Ski"), {"SKILLS": ["Skills"]}), None),
+        (lambda: X.safe_filename(F.lit("a b/c.d_é-1")), "abcd_é-1"),
+        (lambda: X.safe_filename(F.lit("...")), "export"),
+        (lambda: X.normalize_text(F.lit("\n\ta b\r\n")), "a b"),
+        (lambda: X.normalize_text(F.lit(None).cast("string")), ""),
+        (lambda: X.has_all(F.array(F.lit("Spark SQL"), F.lit("Go")), X.terms(F.lit("go, spark%"))), True),
+        (lambda: X.has_all(F.array(F.lit("Spark SQL")), X.terms(F.lit("spark"))), False),
+    ],
+)
+def test_fields(spark, make, want):
+    assert _one(spark, make()) == want
+
+
+def test_degree_and_place(spark):
+    got = _one(spark, P.degree_parts(F.lit("B.Tech (Computer Science) | NIT ,Calicut")))
+    assert tuple(got) == ("B.Tech", "NIT, Calicut", "Computer Science")
+    assert tuple(_one(spark, P.degree_parts(F.lit("Master in Physics")))) == ("Master", None, "Physics")
+    assert tuple(_one(spark, P.degree_parts(F.lit("BA (Hons)")))) == ("BA (Hons)", None, None)
+    assert tuple(_one(spark, P.place_parts(F.lit("Some College - Pune, India")))) == ("Some College", "Pune, India")
+
+
+def test_greedy_matches_by_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(g, a, b, r.randrange(1, 5)) for g in range(6) for a in range(5) for b in range(5) if r.random() < 0.6]
+    got = sorted(tuple(x) for x in V.greedy_matches(spark.createDataFrame(rows, "g long, a long, b long, shared long"), "g").collect())
+    want = []
+    for g in range(6):
+        left = [x for x in rows if x[0] == g]
+        while left:
+            best = min(left, key=lambda x: (-x[3], x[1], x[2]))
+            want.append(best)
+            left = [x for x in left if x[1] != best[1] and x[2] != best[2]]
+    assert got == sorted(want)
