@@ -148,8 +148,10 @@ def status_crosstab(spark, d):
 
 @query("SELECT lang, source, quality, count(*) AS n, CAST(4 * grouping(lang) + 2 * grouping(source) + grouping(quality) AS BIGINT) AS level FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, quality), (source, quality), (quality))")
 def multi_dim_rollup(spark, d):
-    table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").createOrReplaceTempView("docflow_rollup")
-    return spark.sql("SELECT lang, source, quality, count(*) AS n, CAST(4 * grouping(lang) + 2 * grouping(source) + grouping(quality) AS BIGINT) AS level FROM docflow_rollup GROUP BY GROUPING SETS ((lang, quality), (source, quality), (quality))")
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    lang, source, quality = (F.col(c) for c in ("lang", "source", "quality"))
+    level = 4 * F.grouping("lang").cast("bigint") + 2 * F.grouping("source") + F.grouping("quality")
+    return rows.groupingSets([[lang, quality], [source, quality], [quality]], lang, source, quality).agg(F.count(F.lit(1)).alias("n"), level.cast("bigint").alias("level"))
 
 
 @query("SELECT a.conv_id, list_sort(list_distinct(list_filter(a.w, lambda x: NOT list_contains(b.w, x)))) AS reduced, list_sort(list_distinct(list_filter(b.w, lambda x: NOT list_contains(a.w, x)))) AS introduced FROM (SELECT conv_id, string_split(text, ' ') AS w FROM conversations WHERE turn = 0) a JOIN (SELECT conv_id, string_split(text, ' ') AS w FROM conversations WHERE turn = 1) b USING (conv_id)")
@@ -311,14 +313,6 @@ def duplicate_ownership(spark, d):
     return O.duplicate_owners(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey")
 
 
-@query("SELECT doc_id, item_id FROM (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents) a JOIN (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS p FROM benchmark) b ON contains(t, p)")
-def grounded_substring(spark, d):
-    # the benchmark is a small query set that is held against all rows; its size decides about the broadcast
-    docs = table(spark, d, "documents").select("doc_id", X.alnum_fold(F.col("text")).alias("t"))
-    items = table(spark, d, "benchmark").select("item_id", X.alnum_fold(F.col("text")).alias("p"))
-    return docs.join(items, F.contains("t", "p")).select("doc_id", "item_id")
-
-
 @query("SELECT a.conv_id, list_sort(string_split(a.text, ' ')) = list_sort(string_split(b.text, ' ')) AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2")
 def multiset_support(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
@@ -355,10 +349,37 @@ def stream_requests(spark, d):
     return run_to_end(good.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete", _folder(spark))
 
 
+@query("SELECT topic, count(*) AS n FROM (SELECT CASE WHEN event_type IS NULL OR user_id IS NULL OR event_type = 'view' THEN 'dead' WHEN value < 0 OR event_type = 'refund' THEN 'failed' ELSE 'completed' END AS topic FROM events) GROUP BY topic")
+def stream_events(spark, d):
+    from ..streaming import dead_letters, events_of, file_stream, run_to_end, split_requests
+
+    stream = file_stream(spark, f"{d}/events.parquet", EVENTS)
+    name = F.when(F.col("event_type") != "view", F.col("event_type"))
+    messages = stream.select(F.to_json(F.struct(name.alias("event_type"), F.col("user_id").cast("string").alias("user"), "value")).alias("value"))
+    good, bad = split_requests(messages, T.StructType([T.StructField("event_type", T.StringType()), T.StructField("user", T.StringType()), T.StructField("value", T.DoubleType())]), ["event_type", "user"])
+    error = F.when((F.col("value") < 0) | (F.col("event_type") == "refund"), F.lit("no parse"))
+    events = events_of(good, F.struct("user", error.alias("error")), "completed", "failed").union(dead_letters(bad, "dead"))
+    return run_to_end(events, "append", _folder(spark)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT user_id) AS n FROM events")
+def stream_replays(spark, d):
+    from ..streaming import file_stream, once_per_key, run_to_end
+
+    stream = file_stream(spark, f"{d}/events.parquet", EVENTS)
+    once = once_per_key(stream.select("user_id", "ts"), ["user_id"], "ts", "3650 days")
+    return run_to_end(once, "append", _folder(spark)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one in local runs only."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docflow-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="docflow-")
 
 
-from . import evaluation, fields, layout, store  # noqa: E402, F401  the other queries register themselves
+from . import evaluation, fields, grounding, layout, store  # noqa: E402, F401  the other queries register themselves

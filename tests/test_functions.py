@@ -3,6 +3,7 @@ from docflow import functions as X
 from docflow import operators as O
 from docflow.functions import fields as P
 from docflow.operators import evaluation as V
+from docflow.operators import grounding as G
 from pyspark.sql import functions as F
 
 
@@ -128,3 +129,13 @@ def test_greedy_matches_by_brute_force(spark):
             want.append(best)
             left = [x for x in left if x[1] != best[1] and x[2] != best[2]]
     assert got == sorted(want)
+
+
+def test_repaired_claims(spark):
+    blocks = spark.createDataFrame([(1, "b0", None, 1, "worked at Initech Corporation"), (1, "b1_c1", "b1", 1, "Senior Analyst"), (1, "b2", None, 2, "Springfield")], "doc_id long, block_id string, parent_id string, page long, text string")
+    rows = [("kept", "Initech", ["b0"]), ("split", "Senior Analyst", ["b1"]), ("known", "Initech", ["b0", "b9"]), ("found", "Springfield", ["b0"]), ("removed", "Umbrella", ["b0"]), ("none", "Initech", [])]
+    claims = spark.createDataFrame([(k, 1, "e", "f", v, i) for k, v, i in rows], "claim_id string, doc_id long, entity string, field string, value string, ids array<string>")
+    got = {r["claim_id"]: (r["step"], r["new_ids"]) for r in G.repaired(claims, blocks).collect()}
+    assert got == {"kept": ("kept", ["b0"]), "split": ("kept", ["b1"]), "known": ("known_only", ["b0"]), "found": ("found", ["b2"]), "removed": ("removed", []), "none": ("found", ["b0"])}
+    codes = {(r["claim_id"], r["code"]) for r in G.violations(claims, blocks).collect()}
+    assert codes == {("known", G.UNKNOWN), ("found", G.UNSUPPORTED), ("removed", G.UNSUPPORTED), ("none", G.MISSING)}
