@@ -19,7 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below their language's threshold, and below 0.3."""
+    """Documents that the classifier scores below their language's threshold, and below 0.3.
+
+    Null and empty texts have the score of no word; without a toxic label at hand all stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.judge(toxicity.score(docs.select(*COLUMNS), model), model)
     return scored.where((F.col("score") < toxicity.CUT) & ~F.col("rejected")).select(*COLUMNS)
@@ -28,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; those of which nothing is left go.
 
-    n_chars follows the text where lines went.
+    n_chars follows the text where lines went. Null and empty texts stay as they are.
     """
     kept = lines.drop_lines(docs.select(*COLUMNS))
     left = kept.where("removed is null or rlike(text, '[^\\\\s]')")
@@ -37,14 +40,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, then row key. Rows repeat no more."""
+    """One document of each group of near copies: that with the smallest id, then row key. Rows repeat no
+    more; a null text and an empty one of the same id are different rows, and both stay."""
     copies = jaccard.copies(docs).select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"))
-    rows = docs.select(*COLUMNS, substrings.doc_key(F.col("doc_id")).alias("__doc"), substrings.row_key(F.col("text")).alias("__rid"))
-    return rows.join(copies, ["__doc", "__rid"], "left_anti").dropDuplicates(["__doc", "__rid"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, substrings.doc_key(F.col("doc_id")).alias("__doc"), substrings.row_key(F.col("text")).alias("__rid"), F.col("text").isNull().alias("__null"))
+    return rows.join(copies, ["__doc", "__rid"], "left_anti").dropDuplicates(["__doc", "__rid", "__null"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage occurs."""
+    """Documents in which no benchmark passage occurs; null and empty texts have none, an empty benchmark removes nothing."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
