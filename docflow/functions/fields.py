@@ -25,6 +25,7 @@ MONTH_NUMBERS = {
 }
 RANGE = r"^\s*(.+?)\s*[–—-]\s*(.+?)\s*$"
 CURRENT = ("present", "current", "now")
+SHAPE = r"(?i)^([a-z]+\s+\d{4}|\d{1,2}[/-]\d{4}|\d{4})\s*[–—-]\s*([a-z]+\s+\d{4}|\d{1,2}[/-]\d{4}|\d{4}|present|current|now)$"
 CONTACT_MARKERS = ("contact", "email:", "phone:", "address:", "linkedin:", "github:", "portfolio:")
 ARTIFACTS = ("•", "●", "-", "*", "·", ".")
 LIST_MARKER = r"^\s*(?:[\x{2022}\x{2023}\x{25E6}\-*\x{00B7}]|\d+\.)\s+"
@@ -94,7 +95,8 @@ def parse_range(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)^\s*date\s*:?\s*", "")
     start, last = date_token(F.regexp_extract(text, RANGE, 1)), F.trim(F.regexp_extract(text, RANGE, 2))
     current, end = F.lower(last).isin(*CURRENT), date_token(last)
-    return F.when(start.isNotNull() & (current | end.isNotNull()), F.struct(start.alias("start"), F.when(~current, end).alias("end"), current.alias("current")))
+    # one cheap look first: few texts have the shape at all, and only these are parsed
+    return F.when(text.rlike(SHAPE) & start.isNotNull() & (current | end.isNotNull()), F.struct(start.alias("start"), F.when(~current, end).alias("end"), current.alias("current")))
 
 
 def parenthesised_date(text: Column) -> Column:
@@ -239,20 +241,23 @@ def labelled(text: Column, *, degrees: list[str], sections: list[str], titles: l
     inner = F.regexp_extract(value, r"^\(\s*(.+?)\s*\)$", 1)
     any_degree = "|".join(d.replace(".", r"\.") for d in degrees)
     company = low.rlike(COMPANY)
+    # cheap looks before dear ones: a range ends in a year or a word for now, schools hold one of six words
+    dated = value.rlike(r"(?i)(\d{4}|present|current|now)[^a-z0-9]*$")
+    school = low.contains("university") | low.contains("college") | low.contains("institute") | low.contains("school") | low.contains("academy") | low.contains("polytechnic")
     rules: list[tuple[Column, str, float, str]] = [
         (value == "", "UNKNOWN", 0.0, "empty"),
-        (parse_range(value).isNotNull(), "DATE", 1.0, "date_pattern"),
-        (parse_range(inner).isNotNull(), "DATE", 1.0, "parenthesized_date_pattern"),
+        (dated & parse_range(value).isNotNull(), "DATE", 1.0, "date_pattern"),
+        (value.startswith("(") & dated & parse_range(inner).isNotNull(), "DATE", 1.0, "parenthesized_date_pattern"),
         (list_marked(value), "BULLET", 1.0, "bullet_marker"),
         (low.rlike(rf"^({any_degree})($|\s+(in|of)\b|[:(/.\-])"), "DEGREE", 1.0, "degree_dict"),
-        (low.rlike(r"\bdegree\b") & value.contains("/") & (F.length(value) <= 60), "DEGREE", 0.8, "degree_placeholder_pattern"),
+        (value.contains("/") & (F.length(value) <= 60) & low.rlike(r"\bdegree\b"), "DEGREE", 0.8, "degree_placeholder_pattern"),
         (low.isin(*sections), "SECTION_HEADER", 1.0, "section_header"),
         (low.isin(*titles), "JOB_TITLE", 1.0, "job_title_dict_exact"),
-        (low.rlike("|".join(TITLE_WORDS)) & emphasis, "JOB_TITLE", 0.7, "title_keyword+typography"),
+        (emphasis & low.rlike("|".join(TITLE_WORDS)), "JOB_TITLE", 0.7, "title_keyword+typography"),
         (company & (capitals >= 2), "COMPANY", 0.9, "company_suffix+capitalization"),
         (company & value.rlike("[!&]"), "COMPANY", 0.7, "weak_capitalization"),
         (value.contains("!") & (capitals >= 2), "COMPANY", 0.7, "branding_exclamation+capitalization"),
-        (low.rlike(SCHOOL), "INSTITUTION", 0.9, "institution_keyword"),
+        (school & low.rlike(SCHOOL), "INSTITUTION", 0.9, "institution_keyword"),
         (low.contains("location:") | low.contains("based in"), "LOCATION", 1.0, "location_label"),
         (value.contains(",") & low.rlike(PLACES), "LOCATION", 0.9, "geo_token+comma"),
         (F.length(value) > 80, "DESCRIPTION", 0.6, "long_text"),

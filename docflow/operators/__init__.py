@@ -74,21 +74,16 @@ def reading_order(blocks: DataFrame, *, least: float = 60.0, share: float = 0.18
 
     keys = ["doc_id", "page"]
     w = W.partitionBy(*keys)
-    if "text" in blocks.columns:
-        marked = blocks.withColumn("__artifact", artifact(F.col("text")))
-        clean = reading_order(marked.where(~F.col("__artifact")).drop("__artifact", "text"), least=least, share=share)
-        two = clean.groupBy(*keys).agg(F.max("column").alias("__columns"))
-        rows = marked.join(clean.select(*keys, "block_id", "column"), [*keys, "block_id"], "left").join(two, keys, "left")
-        rows = rows.where("not __artifact or coalesce(__columns, 1) = 1").withColumn("column", F.coalesce("column", F.lit(1)))
-        return rows.withColumn("position", F.row_number().over(w.orderBy("column", "y0", "x0", "block_id")).cast("long")).drop("__artifact", "__columns")
-    by_x = w.orderBy("x0", "block_id")
-    rows = blocks.withColumn("__gap", F.lead("x0").over(by_x) - F.col("x0"))
-    rows = rows.withColumn("__width", F.max("x1").over(w) - F.min("x0").over(w)).withColumn("__cut", F.max(F.struct("__gap", (-F.col("x0")).alias("__left"))).over(w))
-    two = F.col("__cut.__gap") >= F.greatest(F.lit(least), F.lit(share) * F.col("__width"))
-    column = F.when(two & (F.col("x0") > -F.col("__cut.__left")), 2).otherwise(1)
-    rows = rows.withColumn("column", column)
+    marked = blocks.withColumn("__artifact", artifact(F.col("text")) if "text" in blocks.columns else F.lit(False))
+    clean, by_x = ~F.col("__artifact"), W.partitionBy(*keys, "__artifact").orderBy("x0", "block_id")
+    rows = marked.withColumn("__gap", F.lead("x0").over(by_x) - F.col("x0"))
+    width = F.max(F.when(clean, F.col("x1"))).over(w) - F.min(F.when(clean, F.col("x0"))).over(w)
+    rows = rows.withColumn("__width", width).withColumn("__cut", F.max(F.when(clean, F.struct("__gap", (-F.col("x0")).alias("__left")))).over(w))
+    two = F.coalesce(F.col("__cut.__gap") >= F.greatest(F.lit(least), F.lit(share) * F.col("__width")), F.lit(False))
+    rows = rows.withColumn("__two", two).where("not __artifact or not __two")
+    rows = rows.withColumn("column", F.when(F.col("__two") & (F.col("x0") > -F.col("__cut.__left")), 2).otherwise(1))
     place = F.row_number().over(w.orderBy("column", "y0", "x0", "block_id"))
-    return rows.withColumn("position", place.cast("long")).drop("__gap", "__width", "__cut")
+    return rows.withColumn("position", place.cast("long")).drop("__gap", "__width", "__cut", "__two", "__artifact")
 
 
 #: Fixed value: what makes a fragment a list item.

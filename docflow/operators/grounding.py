@@ -141,7 +141,7 @@ def section_scores(lines: DataFrame, patterns: dict[str, list[tuple[str, float]]
     return rows.select("doc_id", F.when(sure, F.col("r")[0]["name"]).alias("section"), best.alias("score"), "total")
 
 
-def contained(texts: DataFrame, items: DataFrame, *, k: int = 8) -> DataFrame:
+def contained(texts: DataFrame, items: DataFrame, *, k: int = 16) -> DataFrame:
     """Pairs (doc_id, item_id) of folded texts `t` that contain the folded items `p`.
 
     Any place of an item of 2k-1 characters or more holds one of the text's k-grams at a multiple of
@@ -152,8 +152,8 @@ def contained(texts: DataFrame, items: DataFrame, *, k: int = 8) -> DataFrame:
     long = items.where(F.length("p") >= 2 * k - 1)
     # an item's first k grams are enough: one of them stands at a multiple of k in the text
     index = long.select("item_id", F.explode(F.slice(grams, 1, k)).alias("g")).select("item_id", "g.gram").distinct()
-    own = F.transform(F.sequence(F.lit(0), F.length("t") - k, F.lit(k)), lambda i: F.substring(F.col("t"), i + 1, F.lit(k)))
-    probes = texts.where(F.length("t") >= 2 * k - 1).select("doc_id", F.explode(F.array_distinct(own)).alias("gram"))
+    own = F.regexp_extract_all("t", F.lit(f"(?s).{{{k}}}"), F.lit(0))  # the grams at multiples of k, in one pass
+    probes = texts.select("doc_id", F.explode(own).alias("gram"))
     pairs = probes.join(index, "gram").select("doc_id", "item_id").distinct()
     exact = pairs.join(texts, "doc_id").join(long, "item_id").where(F.contains("t", "p")).select("doc_id", "item_id")
     short = items.where(F.length("p") < 2 * k - 1)
