@@ -382,4 +382,4 @@ def _folder(spark: SparkSession) -> str:
     return named or "file://" + tempfile.mkdtemp(prefix="docflow-")
 
 
-from . import evaluation, fields, grounding, layout, records, store  # noqa: E402, F401  the other queries register themselves
+from . import evaluation, fields, grounding, layout, records, store, views  # noqa: E402, F401  the other queries register themselves
