@@ -92,34 +92,55 @@ _MARKED = r"^\s*(?:[•●▪‣◦·*]|[-–—](?=\s|$)|\d+\.\s)"
 
 def merge_lines(blocks: DataFrame, *, drift: float = 1.0, reach: float = 1.5) -> DataFrame:
     """Joins neighbouring fragments of one baseline. Sequential by nature: each fragment is held
-    against the run's first y0, its last x0 and its right edge so far, so it folds in a grouped
-    function per page. A list item neither joins a run nor is joined; fragments go left to right;
-    without a font size on either side none is joined over a gap. Plain arrays, no row objects.
+    against the run's first y0, its last x0 and its right edge so far, so it folds over sorted
+    partitions, many pages a batch, and holds one run at a time. A list item neither joins a run nor
+    is joined; fragments go left to right; without a font size on either side none is joined over a gap.
     """
     import re
+    from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
     marked = re.compile(_MARKED)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y0", "x0", "block_id"])
-        x0, x1, y0, text = (rows[c].tolist() for c in ("x0", "x1", "y0", "text"))
-        size = rows["font_size"].fillna(0.0).tolist()
-        item = [bool(marked.match(t or "")) for t in text]
-        out, i = [], 0
-        while i < len(text):
-            right, j = x1[i], i + 1
-            while j < len(text) and abs(y0[j] - y0[i]) <= drift and x0[j] >= x0[j - 1] and not item[j] and not item[j - 1] and x0[j] - right <= reach * (size[j] or size[j - 1] or size[i]):
-                right = max(right, x1[j])
-                j += 1
-            out.append((i, " ".join(t for t in text[i:j] if t), min(x0[i:j]), right, min(y0[i:j]), j - i))
-            i = j
-        keys = rows[["doc_id", "page"]].iloc[[o[0] for o in out]].reset_index(drop=True)
-        runs = pd.DataFrame([(k, *o[1:]) for k, o in enumerate(out, 1)], columns=["line", "text", "x0", "x1", "y0", "n_parts"])
-        return pd.concat([keys, runs], axis=1)
-
-    return blocks.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, line long, text string, x0 double, x1 double, y0 double, n_parts long")
+    nan = float("nan")
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line", pa.int64()), ("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("y0", pa.float64()), ("n_parts", pa.int64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, line, run = None, 0, None  # run: texts, least x0, right edge, first y0, least y0, parts, first size
+        last_x0 = last_size = 0.0
+        last_item = False
+        out: list[tuple] = []
+
+        def end() -> None:
+            texts, x0, right, _, y0, n, _ = run
+            out.append((*key, line, " ".join(texts), x0, right, y0, n))
+
+        for batch in batches:
+            for doc, page, x0, x1, y0, text, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x0, x1, y0 = (nan if v is None else v for v in (x0, x1, y0))
+                size = 0.0 if size is None or size != size else size
+                item = bool(marked.match(text or ""))
+                if run is not None and key == (doc, page) and abs(y0 - run[3]) <= drift and x0 >= last_x0 and not item and not last_item and x0 - run[2] <= reach * (size or last_size or run[6]):
+                    if text:
+                        run[0].append(text)
+                    run[1], run[2], run[4], run[5] = min(run[1], x0), max(run[2], x1), min(run[4], y0), run[5] + 1
+                else:
+                    if run is not None:
+                        end()
+                    line = line + 1 if run is not None and key == (doc, page) else 1
+                    key, run = (doc, page), [[text] if text else [], x0, x1, y0, y0, 1, size]
+                last_x0, last_size, last_item = x0, size, item
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.clear()
+        if run is not None:
+            end()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    order = [F.col(c).asc_nulls_last() for c in ("y0", "x0", "block_id")]
+    placed = blocks.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order)
+    rows = placed.select("doc_id", "page", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0")], "text", F.col("font_size").cast("double").alias("font_size"))
+    return rows.mapInArrow(fold, "doc_id long, page int, line long, text string, x0 double, x1 double, y0 double, n_parts long")
 
 
 # ---- spatial and matching joins --------------------------------------------------------------

@@ -139,3 +139,22 @@ def test_repaired_claims(spark):
     assert got == {"kept": ("kept", ["b0"]), "split": ("kept", ["b1"]), "known": ("known_only", ["b0"]), "found": ("found", ["b2"]), "removed": ("removed", []), "none": ("found", ["b0"])}
     codes = {(r["claim_id"], r["code"]) for r in G.violations(claims, blocks).collect()}
     assert codes == {("known", G.UNKNOWN), ("found", G.UNSUPPORTED), ("removed", G.UNSUPPORTED), ("none", G.MISSING)}
+
+
+def test_merge_lines_folds_over_batches(spark):
+    """Pages and runs that lie over several batches, and no grouped function, which takes milliseconds a page."""
+    from docflow import operators as O
+
+    rows = [(d, 1, f"b{i}", 10.0 * i, 10.0 * i + 9, 0.0 if i < 5 else 20.0, f"t{i}", 10.0) for d in range(40) for i in range(7)]
+    rows += [(None, 1, "b0", 0.0, 5.0, 0.0, None, None), (99, 1, "b0", None, 5.0, 0.0, "x", 10.0), (99, 1, "b1", 1.0, 5.0, 0.0, "y", 10.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, block_id string, x0 double, x1 double, y0 double, text string, font_size double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        merged = O.merge_lines(df)
+        assert "FlatMapGroups" not in merged._jdf.queryExecution().executedPlan().toString()
+        got = {(r["doc_id"], r["line"]): (r["text"], r["x0"], r["x1"], r["y0"], r["n_parts"]) for r in merged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for d in range(40):
+        assert got[d, 1] == ("t0 t1 t2 t3 t4", 0.0, 49.0, 0.0, 5) and got[d, 2] == ("t5 t6", 50.0, 69.0, 20.0, 2)
+    assert got[None, 1][0] == "" and got[99, 1][0] == "y" and got[99, 2][0] == "x" and len(got) == 83
