@@ -27,13 +27,16 @@ def cited(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("claim_id", "doc_id", F.col("pos").cast("long").alias("pos"), "cited", "b.block_id", "b.page", "b.text")
 
 
+def _evidence(claims: DataFrame, blocks: DataFrame) -> DataFrame:
+    """All claims with `e`: their evidence (pos, page, text, cited) in cited order; null where there is none."""
+    found = cited(claims, blocks).where("block_id is not null")
+    each = found.groupBy("claim_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "page", "text", "cited"))).alias("e"))
+    return claims.join(each, ["claim_id", "doc_id"], "left").withColumn("texts", F.coalesce(F.col("e.text"), F.array().cast("array<string>")))
+
+
 def with_evidence(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """All claims with texts and distinct pages of their evidence, in cited order; empty where there is none."""
-    found = cited(claims, blocks).where("block_id is not null")
-    texts = found.groupBy("claim_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "page", "text"))).alias("e"))
-    none = F.array().cast("array<string>")
-    rows = claims.join(texts, ["claim_id", "doc_id"], "left")
-    return rows.withColumns({"texts": F.coalesce(F.col("e.text"), none), "pages": F.coalesce(F.array_distinct("e.page"), F.array().cast("array<bigint>"))}).drop("e")
+    return _evidence(claims, blocks).withColumn("pages", F.coalesce(F.array_distinct("e.page"), F.array().cast("array<bigint>"))).drop("e")
 
 
 def is_supported(value: Column, texts: Column) -> Column:
@@ -73,18 +76,21 @@ def repaired(claims: DataFrame, blocks: DataFrame, *, least: int = 4) -> DataFra
     """Rows (claim_id, doc_id, old_ids, new_ids, step): ids kept if they support the value; else cut down
     to known ones; else the first block of the document, in order, with the value in it; else none.
 
-    The search joins on the value's longest word of `least` characters or more, never on all blocks.
+    The search brings a document's open claims to each of its blocks, and looks into a block only
+    for values whose longest word, of `least` characters or more, is in it. Blocks are never
+    repeated, neither by words nor by claims.
     """
-    rows = with_evidence(claims, blocks)
-    known = cited(claims, blocks).where("block_id is not null").groupBy("claim_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cited"))).alias("k"))
-    rows = rows.join(known, ["claim_id", "doc_id"], "left").withColumn("good", F.coalesce(is_supported(F.col("value"), F.col("texts")), F.lit(False)))
+    rows = _evidence(claims, blocks).withColumn("good", F.coalesce(is_supported(F.col("value"), F.col("texts")), F.lit(False)))
+    rows = rows.withColumn("known", F.col("e.cited")).drop("e", "texts")
     longest = F.element_at(F.array_sort(P.words(F.col("value")), lambda a, b: F.length(a) - F.length(b)), -1)
     seek = rows.where("not good and size(regexp_extract_all(lower(value), '[a-z0-9]+', 0)) > 0").select("claim_id", "doc_id", "value", longest.alias("word")).where(F.length("word") >= least)
-    there = blocks.select("doc_id", "block_id", "text", F.explode(F.array_distinct(P.words(F.col("text")))).alias("word"))
-    hits = seek.join(there, ["doc_id", "word"]).where(P.supported(F.col("value"), F.col("text"), alnum_fold))
-    first = hits.groupBy("claim_id", "doc_id").agg(F.min("block_id").alias("hit"))
+    wanted = seek.groupBy("doc_id").agg(F.collect_list(F.struct("claim_id", "value", "word")).alias("seek"))
+    there = blocks.select("doc_id", "block_id", "text").join(wanted, "doc_id").withColumns({"lower": F.lower("text"), "words": P.words(F.col("text"))})
+    some = F.filter("seek", lambda c: F.contains(F.col("lower"), c["word"]) & F.array_contains(F.col("words"), c["word"]))
+    hits = there.select("doc_id", "block_id", "text", F.explode(some).alias("c")).where(P.supported(F.col("c.value"), F.col("text"), alnum_fold))
+    first = hits.groupBy(F.col("c.claim_id").alias("claim_id"), "doc_id").agg(F.min("block_id").alias("hit"))
     rows = rows.join(first, ["claim_id", "doc_id"], "left")
-    some = F.col("k.cited")
+    some = F.col("known")
     step = F.when(F.col("good") & (F.size(some) == F.size("ids")), "kept").when(F.col("good"), "known_only").when(F.col("hit").isNotNull(), "found").otherwise("removed")
     rows = rows.withColumn("step", step)
     empty = F.slice("ids", 1, 0)

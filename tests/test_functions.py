@@ -158,3 +158,16 @@ def test_merge_lines_folds_over_batches(spark):
     for d in range(40):
         assert got[d, 1] == ("t0 t1 t2 t3 t4", 0.0, 49.0, 0.0, 5) and got[d, 2] == ("t5 t6", 50.0, 69.0, 20.0, 2)
     assert got[None, 1][0] == "" and got[99, 1][0] == "y" and got[99, 2][0] == "x" and len(got) == 83
+
+
+def test_repair_moves_each_text_once(spark):
+    """The search for other blocks never repeats a block's text by its words."""
+    from docflow.operators import grounding as G
+
+    blocks = spark.createDataFrame([(1, f"b{i}", None, 1, " ".join(f"word{j}" for j in range(i, i + 50))) for i in range(20)], "doc_id long, block_id string, parent_id string, page int, text string")
+    claims = spark.createDataFrame([("a", 1, "f", "word55", ["b0"]), ("b", 1, "f", "word67 word68", ["b0", "b77"]), ("c", 1, "f", "word999", ["b0"]), ("d", 1, "f", "word3", ["b0", "b77"])], "claim_id string, doc_id long, field string, value string, ids array<string>")
+    fixed = G.repaired(claims, blocks)
+    plan = fixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" not in plan.lower()
+    got = {r["claim_id"]: (r["step"], r["new_ids"]) for r in fixed.collect()}
+    assert got == {"a": ("found", ["b10"]), "b": ("found", ["b19"]), "c": ("removed", []), "d": ("known_only", ["b0"])}
