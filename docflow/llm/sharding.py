@@ -56,7 +56,8 @@ def two_pass_shuffle(
     held = dealt_out.groupBy("part", "bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     dealt = held.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
     place = F.col("start") + F.col("at")
-    return dealt.join(start, "bucket").select(
+    # broadcast, since a shuffled join would move all records once more; it has one row per bucket
+    return dealt.join(F.broadcast(start), "bucket").select(
         *[F.col(f"row.record.c{i}").alias(c) for i, c in enumerate(kept)],
         F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
         F.floor(place / F.lit(shards)).cast("long").alias("slot"),

@@ -144,3 +144,18 @@ def test_urls_by_brute_force(spark):
             path = rest[: min([k for k in map(rest.find, "?#") if k >= 0], default=len(rest))]
         fits = [r for _, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
         assert got[i] == (host, path, max(fits, key=len, default=None)), u
+
+
+def test_shards_move_records_once(spark):
+    """The join with the buckets' offsets is a broadcast, so that records are shuffled once, whatever their size."""
+    from docflow.llm import sharding
+
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(30)], "doc_id long, text string")
+    plan = sharding.two_pass_shuffle(docs, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_line_blocks_do_not_step_with_size():
+    from docflow.llm import lines
+
+    assert {len(lines.blocking(n)) for n in (10**4, 10**6, 10**8)} == {15}
