@@ -159,3 +159,15 @@ def test_line_blocks_do_not_step_with_size():
     from docflow.llm import lines
 
     assert {len(lines.blocking(n)) for n in (10**4, 10**6, 10**8)} == {15}
+
+
+def test_line_loads_are_not_written_before_their_shuffle(spark, monkeypatch):
+    """What only goes to a bucket is shuffled once and never written besides: classes once, then what their keys gave."""
+    from docflow.llm import lines
+
+    names = []
+    plain = lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name, *by: names.append(name) or plain(df, name, *by))
+    df = spark.createDataFrame([(i, f"one line of some words {'abcdefgh'[i % 4] * 9}") for i in range(8)], "doc_id long, text string")
+    assert {r["doc"] for r in lines.dedup(df).collect()} >= {4, 5, 6, 7}
+    assert names[:3] == ["lines", "found", "alike"]
