@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # ---- fixed values ------------------------------------------------------------------------------
 PHONE = r"(\+?\d{1,3}[ \-/.]?)?(?:\(\d{2,4}\)|\d{2,4})[ \-/.]?\d{3,4}[ \-/.]?\d{3,4}"
+PHONE_SHAPE = r"^\+?[\d \-().]{7,}$"
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/[A-Za-z0-9_\-/]+"
 LINKEDIN_LABEL = r"(?i)^\s*(?:linkedin(?:\s+profile)?|linked\s*in)\s*[:\-]\s*(.+?)\s*$"
 LINKEDIN_HANDLE = r"^[A-Za-z0-9](?:[A-Za-z0-9_-]{0,98}[A-Za-z0-9])?$"
@@ -277,4 +278,4 @@ def signals(text: Column, patterns: list[str]) -> Column:
 
 def supported(value: Column, text: Column, fold: Callable[[Column], Column]) -> Column:
     """A value is grounded in a text: as folded part of it, as date, as phone number, or word by word in order."""
-    return F.contains(fold(text), fold(value)) | iso_supported(value, text) | (value.rlike(r"^\+?[\d \-().]{7,}$") & phone_supported(value, text)) | ordered_subsequence(value, text)
+    return F.contains(fold(text), fold(value)) | iso_supported(value, text) | (value.rlike(PHONE_SHAPE) & phone_supported(value, text)) | ordered_subsequence(value, text)

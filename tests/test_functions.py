@@ -171,3 +171,21 @@ def test_repair_moves_each_text_once(spark):
     assert "explode(array_distinct" not in plan.lower()
     got = {r["claim_id"]: (r["step"], r["new_ids"]) for r in fixed.collect()}
     assert got == {"a": ("found", ["b10"]), "b": ("found", ["b19"]), "c": ("removed", []), "d": ("known_only", ["b0"])}
+
+
+def test_repair_judges_every_open_claim_against_every_block(spark):
+    """Short words, parts of words, dates, phone numbers and other scripts are looked for as well; all
+    hits equal those of the full join of claims and blocks."""
+    texts = ["Go and C at Initech", "Tel 5551234567", "since 14 Mar 2020", "日本語 spoken", "New York, then Old York", "7 x 8", "naïve Straße", None]
+    values = ["Go", "C", "en", "init", "+1 (555) 123-4567", "555 123-4567", "2020-03", "2020-03-14", "2021-03", "日本", "new york", "york new", "old new", "7 8", "8 7", "Straße", "ïv", "Umbrella", None]
+    schema = "doc_id long, block_id string, parent_id string, page long, text string"
+    blocks = spark.createDataFrame([(d, f"b{i}", None, 1, t) for d in (1, 2) for i, t in enumerate(texts) if (i + d) % 4], schema)
+    claims = spark.createDataFrame([(f"{d}/{i}", d, "f", v, []) for d in (1, 2, 3) for i, v in enumerate(values)], "claim_id string, doc_id long, field string, value string, ids array<string>")
+    want = {c: None for c in [r["claim_id"] for r in claims.collect()]}
+    pairs = claims.join(blocks, "doc_id").where(P.supported(F.col("value"), F.col("text"), X.alnum_fold)).groupBy("claim_id").agg(F.min("block_id").alias("hit"))
+    want |= {r["claim_id"]: r["hit"] for r in pairs.collect()}
+    got = {r["claim_id"]: (r["new_ids"] or [None])[0] for r in G.repaired(claims, blocks).collect()}
+    assert got == want
+    value = {v: got[f"1/{i}"] or got[f"2/{i}"] for i, v in enumerate(values)}
+    assert all(value[v] for v in ("Go", "C", "init", "+1 (555) 123-4567", "555 123-4567", "2020-03", "2020-03-14", "日本", "new york", "7 8", "Straße", "ïv"))
+    assert not any(value[v] for v in ("2021-03", "Umbrella", "york new", None))
